@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowgauge.errors import NoFeatures
+from flowgauge.functions.columnwise import per_column, with_names
 from flowgauge.functions.numeric import (finite_or_zero, is_finite, is_fractional,
                                          numeric_columns)
 
@@ -12,28 +13,29 @@ def _numeric_fields(df):
     return [f for f in df.schema.fields if f.name in chosen]
 
 
+_CLEAN, _MISSING, _INFINITE = 0, 1, 2
+
+
+def _state(field):
+    """One small number per value: finite, missing, or infinite."""
+    column = F.col(f"`{field.name}`")
+    missing = column.isNull()
+    if not is_fractional(field.dataType):
+        return F.when(missing, _MISSING).otherwise(_CLEAN)
+    return (F.when(is_finite(field.name), _CLEAN).when(missing | F.isnan(column), _MISSING)
+            .otherwise(_INFINITE))
+
+
 def quality_profile(df):
     """Per numeric column: rows that are null or NaN, and rows that are infinite."""
     fields = _numeric_fields(df)
     if not fields:
         raise NoFeatures("no numeric column to profile")
-
-    def missing(field):
-        column = F.col(f"`{field.name}`")
-        return column.isNull() | F.isnan(column) if is_fractional(field.dataType) else column.isNull()
-
-    def infinite(field):
-        if not is_fractional(field.dataType):
-            return F.lit(False)
-        return F.abs(F.col(f"`{field.name}`")) == F.lit(float("inf"))
-
-    row = df.agg(*[F.count_if(missing(f)).alias(f"_m{i}") for i, f in enumerate(fields)],
-                 *[F.count_if(infinite(f)).alias(f"_i{i}") for i, f in enumerate(fields)])
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(f.name).alias("column_name"),
-                 F.col(f"_m{i}").alias("n_missing"),
-                 F.col(f"_i{i}").alias("n_infinite"))
-        for i, f in enumerate(fields)])))
+    counts = per_column(df, [_state(f) for f in fields],
+                        {"n_missing": lambda c: F.count_if(c == _MISSING),
+                         "n_infinite": lambda c: F.count_if(c == _INFINITE)})
+    return (with_names(counts, [f.name for f in fields], "column_name")
+            .select("column_name", "n_missing", "n_infinite"))
 
 
 def has_dirty_values(df):
@@ -56,9 +58,9 @@ def zero_columns(df, keep=()):
     names = [c for c in numeric_columns(df) if c not in keep]
     if not names:
         return []
-    used = df.agg(*[F.coalesce(F.bool_or(F.coalesce(F.col(f"`{c}`") != 0, F.lit(True))), F.lit(False))
-                    .alias(f"_{i}") for i, c in enumerate(names)]).first()
-    return [c for i, c in enumerate(names) if not used[i]]
+    in_use = [F.coalesce(F.col(f"`{c}`") != 0, F.lit(True)) for c in names]
+    used = {r["ordinal"] for r in per_column(df, in_use, {"used": F.bool_or}).collect() if r["used"]}
+    return [c for i, c in enumerate(names) if i not in used]
 
 
 def drop_zero_columns(df, keep=()):

@@ -4,31 +4,35 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from flowgauge.errors import NotFitted
+from flowgauge.functions.columnwise import per_column, with_names
 from flowgauge.functions.numeric import minmax
 from flowgauge.functions.small import settle
 from flowgauge.operators.columns import align_features
 
 
+RANGE = {"low": F.min, "high": F.max}
+
+
+def as_doubles(features):
+    return [F.col(f"`{c}`").cast("double") for c in features]
+
+
 def fit_minmax(df, features):
     """Table (feature, ordinal, low, high): one aggregate over all features."""
-    row = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"_l{i}") for i, c in enumerate(features)],
-                 *[F.max(F.col(f"`{c}`").cast("double")).alias(f"_h{i}") for i, c in enumerate(features)])
-    return settle(row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"),
-                 F.col(f"_l{i}").alias("low"), F.col(f"_h{i}").alias("high"))
-        for i, c in enumerate(features)]))))
+    ranges = with_names(per_column(df, as_doubles(features), RANGE), features, "feature")
+    return settle(ranges.select("feature", "ordinal", "low", "high"))
 
 
 def fitted_ranges(scaler):
     """[(feature, low, high)] in fitted order."""
-    rows = scaler.orderBy("ordinal").collect()
-    if any(r.low is None for r in rows):
+    rows = sorted(scaler.collect(), key=lambda r: r["ordinal"])
+    if any(r["low"] is None for r in rows):
         raise NotFitted("the scaler was fitted on no rows")
-    return [(r.feature, r.low, r.high) for r in rows]
+    return [(r["feature"], r["low"], r["high"]) for r in rows]
 
 
 def fitted_features(scaler):
-    return [r.feature for r in scaler.select("feature", "ordinal").orderBy("ordinal").collect()]
+    return [name for name, _, _ in fitted_ranges(scaler)]
 
 
 def apply_minmax(df, scaler, keep=()):

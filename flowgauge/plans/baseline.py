@@ -3,18 +3,24 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from flowgauge.errors import NoFeatures
+from flowgauge.functions.columnwise import per_column, with_names
 from flowgauge.functions.hashing import SEED
+from flowgauge.functions.small import dense_index, settle
 from flowgauge.operators.cleaning import clean_values, drop_zero_columns
 from flowgauge.operators.columns import (align_features, project_features, require_label,
                                          standardize_columns)
-from flowgauge.operators.labels import (encode_labels, fit_labels, map_labels,
-                                        require_known_labels, upper_label, zero_to_normal)
+from flowgauge.operators.labels import (encode_labels, map_labels, require_known_labels,
+                                        upper_label, zero_to_normal)
 from flowgauge.operators.sampling import TEST_SHARE, stratified_split
-from flowgauge.operators.scaling import apply_minmax, fit_minmax, fitted_features
-from flowgauge.operators.weights import class_weights
+from flowgauge.operators.scaling import RANGE, apply_minmax, as_doubles, fitted_features
+from flowgauge.operators.weights import weights_of_sizes
 from flowgauge.sources.names import LABEL
 
+MAX_STATS = 100_000
+
 
 @dataclass
 class Baseline:
@@ -53,9 +59,24 @@ def prepare_new(df, label=LABEL, rename_map=None, zero_is_normal=True, aliases=N
 
 
 def fit_baseline(train, features, label=LABEL):
-    """Scaler, dictionary and weights, all from the training part only."""
-    labels = fit_labels(train, label)
-    return Baseline(fit_minmax(train, features), labels, class_weights(train, labels, label))
+    """Scaler, dictionary and weights from one pass over the training part.
+
+    The pass gives size and feature ranges per class; all three tables follow from
+    its labels times features rows.
+    """
+    require_label(train, label)
+    if not features:
+        raise NoFeatures("no feature to fit")
+    stats = settle(per_column(train, as_doubles(features), {"n": _rows, **RANGE}, by=[label]), max_rows=MAX_STATS)
+    ranges = stats.groupBy("ordinal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ranges = with_names(ranges, features, "feature").select("feature", "ordinal", "low", "high")
+    sizes = stats.filter("ordinal = 0").select(label, "n")
+    labels = dense_index(sizes, label)
+    return Baseline(settle(ranges), labels, weights_of_sizes(sizes, labels, label))
+
+
+def _rows(column):
+    return F.count(F.lit(1))
 
 
 def fit_on_split(df, label=LABEL, keys=None, share=TEST_SHARE, seed=SEED):

@@ -1,0 +1,126 @@
+import numpy as np
+import pytest
+
+from conftest import rows
+from flowgauge.operators import balance, labels, profiles
+from flowgauge.plans.baseline import fit_baseline
+
+FEATURES = ["flag", "size", "rate", "const"]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    random = np.random.default_rng(7)
+    table = []
+    for label, n, mean in (("BENIGN", 400, 0.0), ("DOS", 120, 5.0), ("XSS", 9, 1.0), ("ONE", 1, 2.0)):
+        rate = random.normal(mean, 1.0, n)
+        size = 3 * rate + random.normal(0, 0.5, n)
+        flag = random.choice([0.0, 1.0, 4.0], n, p=[0.7, 0.2, 0.1])
+        table += [(float(f), float(s), float(r), 2.0, label) for f, s, r in zip(flag, size, rate)]
+    return spark.createDataFrame(table, "flag double, size double, rate double, const double, label string").repartition(4)
+
+
+@pytest.fixture(scope="module")
+def fitted(data):
+    return profiles.fit_profiles(data, ["flag", "const", "size"], ["rate"], max_distinct=100)
+
+
+def quota_table(spark, quotas):
+    return spark.createDataFrame(list(quotas.items()), "label string, quota bigint")
+
+
+def test_kind_depends_on_distinct_values_in_the_class(data, fitted):
+    kinds = {(r.label, r.feature): r.kind for r in fitted.marginals.collect()}
+    assert kinds["BENIGN", "size"] == "continuous" and kinds["XSS", "size"] == "discrete"
+    assert kinds["DOS", "flag"] == "discrete" and kinds["BENIGN", "rate"] == "continuous"
+    eligible = {(r.label, r.feature): (r.n_distinct, r.eligible)
+                for r in profiles.discrete_eligibility(data, ["flag", "size", "absent"]).collect()}
+    assert eligible["DOS", "size"] == (120, False) and eligible["XSS", "size"] == (9, True)
+
+
+def test_value_counts_are_shares(data, fitted):
+    counts = {r.value: r.n for r in profiles.class_value_counts(data, ["flag"]).filter("label = 'DOS'").collect()}
+    shape = fitted.marginals.filter("label = 'DOS' and feature = 'flag'").first()
+    assert shape["values"] == sorted(counts)
+    np.testing.assert_allclose(shape["shares"], np.cumsum([counts[v] for v in sorted(counts)]) / 120)
+
+
+def test_correlation_matches_a_direct_computation(data, fitted):
+    row = fitted.correlations.filter("label = 'BENIGN'").first()
+    matrix = np.array(row["matrix"]).reshape(4, 4)
+    names = row["features"]
+    real = np.array([tuple(r) for r in data.filter("label = 'BENIGN'").select("size", "rate").collect()])
+    assert row["n"] == 400
+    assert matrix[names.index("size"), names.index("rate")] == pytest.approx(np.corrcoef(real.T)[0, 1], abs=0.05)
+    assert matrix[names.index("const"), names.index("rate")] == 0
+
+
+def test_salted_groups_give_the_same_matrix(data, fitted, monkeypatch):
+    monkeypatch.setattr(profiles, "ROWS_PER_BLOCK", 50)
+    again = profiles.fit_profiles(data, ["flag", "const", "size"], ["rate"], cap=None)
+    for label in ("BENIGN", "DOS", "XSS", "ONE"):
+        a, b = (p.correlations.filter(f"label = '{label}'").first() for p in (fitted, again))
+        assert a["n"] == b["n"]
+        np.testing.assert_allclose(a["matrix"], b["matrix"], atol=1e-9)
+
+
+def test_draw_meets_quotas_and_ranges(spark, data, fitted):
+    quotas = quota_table(spark, {"BENIGN": 25_000, "DOS": 3_000, "XSS": 40, "ONE": 5, "GHOST": 7})
+    drawn = profiles.draw(fitted, quotas)
+    assert rows(drawn.groupBy("label").count()) == [("BENIGN", 25_000), ("DOS", 3_000), ("ONE", 5), ("XSS", 40)]
+    assert rows(profiles.shortfall(fitted, quotas)) == [("GHOST", 7)]
+    real, fake = data.toPandas(), drawn.toPandas()
+    for label, part in fake.groupby("label"):
+        own = real[real.label == label]
+        assert set(part.flag) <= set(own.flag)
+        for c in FEATURES:
+            assert own[c].min() <= part[c].min() and part[c].max() <= own[c].max()
+    benign, own = fake[fake.label == "BENIGN"], real[real.label == "BENIGN"]
+    assert abs(benign.rate.mean() - own.rate.mean()) < 0.1 and abs(benign.rate.std() - own.rate.std()) < 0.1
+    assert abs((benign.flag == 0).mean() - (own.flag == 0).mean()) < 0.02
+    assert benign["size"].corr(benign.rate) == pytest.approx(own["size"].corr(own.rate), abs=0.05)
+
+
+def test_draw_is_repeatable_and_seeded(spark, fitted):
+    quotas = quota_table(spark, {"DOS": 50})
+    first = rows(profiles.draw(fitted, quotas))
+    assert first == rows(profiles.draw(fitted, quotas))
+    assert first != rows(profiles.draw(fitted, quotas, seed=1))
+
+
+def test_existing_profiles_are_kept(data, fitted):
+    only = profiles.Profiles(fitted.marginals.filter("label = 'DOS'"), fitted.correlations.filter("label = 'DOS'"),
+                             fitted.features)
+    both = profiles.fit_profiles(data.filter("label in ('DOS', 'XSS')"), ["flag", "const", "size"], ["rate"],
+                                 existing=only)
+    assert rows(both.labels()) == [("DOS",), ("XSS",)]
+
+
+def test_cap_limits_the_rows_used(data):
+    capped = profiles.fit_profiles(data, ["flag"], ["rate"], cap=50)
+    assert rows(capped.correlations, "label", "n") == [("BENIGN", 50), ("DOS", 50), ("ONE", 1), ("XSS", 9)]
+
+
+def test_quotas(spark, data):
+    known = labels.fit_labels(data)
+    new = data.filter("label <> 'ONE'")
+    assert rows(balance.quota_match(new, known)) == [("BENIGN", 400), ("DOS", 120), ("ONE", 0), ("XSS", 9)]
+    assert rows(balance.quota_equal(new, known)) == [(c, 133) for c in ("BENIGN", "DOS", "ONE", "XSS")]
+
+
+def test_balance(data, fitted):
+    partial = profiles.Profiles(fitted.marginals, fitted.correlations.filter("label <> 'ONE'"), fitted.features)
+    counts = balance.balance(data, partial, target=100).groupBy("label", "origin").count()
+    assert rows(counts) == [("BENIGN", "real", 100), ("DOS", "real", 120), ("ONE", "real", 1),
+                            ("XSS", "real", 9), ("XSS", "synthetic", 91)]
+    capped = balance.balance(data, partial, target=100, cap_minority=True).filter("label = 'DOS'")
+    assert capped.count() == 100
+
+
+def test_mix_is_aligned_scaled_and_encoded(spark, data, fitted):
+    baseline = fit_baseline(data, FEATURES)
+    synthetic = profiles.draw(fitted, quota_table(spark, {"DOS": 30}))
+    mixed = balance.mix(synthetic, data.filter("label = 'XSS'"), baseline)
+    assert mixed.columns == [*FEATURES, "label", "origin", "idx"]
+    assert rows(mixed.groupBy("label", "origin", "idx").count()) == [
+        ("DOS", "synthetic_old", 1, 30), ("XSS", "real_new", 3, 9)]
