@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from flowgauge.session import ensure_checkpoint_dir
+from flowgauge.session import has_checkpoint_dir
 
 MAX_ROWS = 10_000
 MAX_BYTES = 8 * 1024 * 1024
@@ -19,14 +19,12 @@ MAX_BYTES = 8 * 1024 * 1024
 
 def settle(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES, keep=False):
     """Local copy of a small table. Over the bound: the table itself or, with
-    ``keep``, its checkpoint, for tables whose inputs are released afterwards."""
+    ``keep``, its checkpoint where the session has a folder for it, for tables that
+    are read more than once."""
     head = bounded_arrow(df, max_rows, max_bytes)
     if head is not None:
         return df.sparkSession.createDataFrame(head, df.schema)
-    if not keep:
-        return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return df.checkpoint() if keep and has_checkpoint_dir(df.sparkSession) else df
 
 
 def bounded_arrow(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
@@ -57,7 +55,8 @@ def dense_index(distinct, column, index="idx"):
         arrays = {column: pa.array(ordered, head.column(0).type),
                   index: pa.array(range(len(ordered)), pa.int64())}
         return spark.createDataFrame(pa.table(arrays), schema)
-    ensure_checkpoint_dir(spark)
+    if not has_checkpoint_dir(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     ranged = (values.filter(F.col(column).isNotNull())
               .repartitionByRange(column)
               .withColumn("_part", F.spark_partition_id())

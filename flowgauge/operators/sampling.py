@@ -1,22 +1,26 @@
 """Exact per-class selection by hash order: splits, caps and undersampling.
 
-The order of the rows of a class is the order of an md5 over their key columns, so
-a selection is the same on every run, cluster and retry. Taking the first ``q``
-rows of a class does not sort the class:
-
-1. count rows per (class, hash prefix): a map-side-combined aggregate;
-2. per class, find the prefix in which the running count reaches ``q``; one row per
-   class, joined back as a small table;
-3. rows below or above that prefix are decided where they are read, unshuffled;
-4. only rows of the one border prefix are numbered. Copies of a row are first
-   counted instead of numbered, so neither a class with most of the rows nor a row
-   with most of the copies ends up in one task.
+The order of the rows of a class is the order of a hash of their content: an md5
+over key columns when they are named, else a binary hash of the whole row. So a
+selection is the same on every run, cluster and retry. Taking the first ``q`` rows
+of a class does not sort the class:
+
+1. count rows per (class, hash prefix), a map-side-combined aggregate, and find per
+   class the prefix in which the running count reaches ``q``;
+2. count rows per hash within that one prefix and find the hash at which ``q`` is
+   reached; when keys are named, only they have been read so far;
+3. compare every row's hash with its class's cut, where the row is read: a join
+   with one row per class and no shuffle of the data.
+
+Only when rows share the cut hash and some of them are over the quota is there a
+fourth step. Those rows are counted per distinct row, not numbered, so a row with
+most of the copies stays a single counted row until it is written out in blocks.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from flowgauge.functions.hashing import SEED, order_key
+from flowgauge.functions.hashing import SEED, shuffle_key
 from flowgauge.functions.small import settle
 from flowgauge.sources.names import LABEL, MAJORITY
 
@@ -35,24 +39,32 @@ def choose(df, label, quota, keys=None, seed=SEED, digits=PREFIX_DIGITS, column=
 
     ``quota`` maps the class size (a column) to a number, or is a table
     (label, quota). A class without a quota keeps nothing. ``keys`` names the
-    columns to hash; all of them by default.
+    columns to hash; without them the whole row is hashed.
     """
     columns = df.columns
-    keyed = df.withColumn("_order", order_key(keys or columns, seed))
-    keyed = keyed.withColumn("_prefix", F.substring("_order", 1, digits))
-    cuts = _cuts(keyed, label, quota)
+    keyed = df.withColumn("_order", shuffle_key(columns, keys, seed))
+    cuts = _cuts(keyed.select(F.col(label).alias("_class"), "_order"), label, quota, digits)
     marked = keyed.join(cuts, keyed[label].eqNullSafe(cuts["_class"]), "left").drop("_class")
-    away = F.coalesce(F.col("_prefix") != F.col("_cut"), F.lit(True))
-    below = F.coalesce(F.col("_prefix") < F.col("_cut"), F.lit(False))
-    decided = marked.filter(away).select(*columns, below.alias(column))
-    border = marked.filter(F.col("_prefix") == F.col("_cut"))
-    return decided.unionByName(_number_border(border, columns, label, column))
-
-
-def _cuts(keyed, label, quota):
-    sizes = keyed.groupBy(F.col(label).alias("_class"), "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    running = W.partitionBy("_class").orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)
-    sizes = sizes.select("_class", "_prefix", "_n", F.sum("_n").over(running).alias("_upto"),
+    below = F.coalesce((F.col("_order") < F.col("_cut")) | ((F.col("_order") == F.col("_cut")) & ~F.col("_shared")),
+                       F.lit(False))
+    if cuts.filter("_shared").isEmpty():
+        return marked.select(*columns, below.alias(column))
+    divided = F.coalesce(F.col("_shared") & (F.col("_order") == F.col("_cut")), F.lit(False))
+    decided = marked.filter(~divided).select(*columns, below.alias(column))
+    return decided.unionByName(_divide(marked.filter(divided), columns, label, column))
+
+
+def _running(count, by, order):
+    """Count up to and including a row, in order."""
+    return F.sum(count).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+
+
+def _cuts(hashes, label, quota, digits):
+    """(_class, _cut, _left, _shared): the last hash taken, how many of its rows are
+    taken, and whether that is not all of them."""
+    prefixed = hashes.withColumn("_prefix", F.substring("_order", 1, digits))
+    sizes = prefixed.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_class", "_prefix", "_n", _running("_n", "_class", ["_prefix"]).alias("_upto"),
                          F.sum("_n").over(W.partitionBy("_class")).alias("_size"))
     if callable(quota):
         sizes = sizes.withColumn("_quota", quota(F.col("_size")).cast("bigint"))
@@ -63,17 +75,25 @@ def _cuts(keyed, label, quota):
     whole = F.col("_quota") >= F.col("_size")
     reached = (before < F.col("_quota")) & (F.col("_quota") <= F.col("_upto"))
     last = F.col("_upto") == F.col("_size")
-    return settle(
+    near = settle(
         sizes.filter((F.col("_quota") > 0) & F.when(whole, last).otherwise(reached))
-        .select("_class", F.when(whole, _WHOLE_CLASS).otherwise(F.col("_prefix")).alias("_cut"),
-                (F.col("_quota") - before).alias("_need")))
-
-
-def _number_border(border, columns, label, column):
-    groups = border.groupBy(*columns, "_order", "_need").agg(F.count(F.lit(1)).alias("_copies"))
-    running = (W.partitionBy(label).orderBy("_order", *columns)
-               .rowsBetween(W.unboundedPreceding, 0))
-    room = F.col("_need") - (F.sum("_copies").over(running) - F.col("_copies"))
+        .select(F.col("_class").alias("_of"), F.when(whole, _WHOLE_CLASS).otherwise(F.col("_prefix")).alias("_within"),
+                (F.col("_quota") - before).alias("_need")), keep=True)
+    inside = prefixed.join(near, prefixed["_class"].eqNullSafe(near["_of"]) & (F.col("_prefix") == F.col("_within")))
+    counted = inside.groupBy("_class", "_order", "_need").agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_left", F.col("_need") - _running("_n", "_class", ["_order"]) + F.col("_n"))
+    exact = (counted.filter(F.col("_left").between(1, F.col("_n")))
+             .select("_class", F.col("_order").alias("_cut"), "_left", (F.col("_left") < F.col("_n")).alias("_shared")))
+    all_rows = near.filter(F.col("_within") == _WHOLE_CLASS).select(
+        F.col("_of").alias("_class"), F.col("_within").alias("_cut"), F.lit(0).cast("bigint").alias("_left"),
+        F.lit(False).alias("_shared"))
+    return settle(exact.unionByName(all_rows), keep=True)
+
+
+def _divide(rows, columns, label, column):
+    """Split rows with the same hash: distinct rows in order, copies by number."""
+    groups = rows.groupBy(*columns, "_order", "_left").agg(F.count(F.lit(1)).alias("_copies"))
+    room = F.col("_left") - _running("_copies", label, columns) + F.col("_copies")
     groups = groups.withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("_copies"), room)))
     parts = groups.select(*columns, "_order", F.inline(F.array(
         F.struct(F.lit(True).alias(column), F.col("_taken").alias("_times")),
@@ -143,5 +163,5 @@ def shuffle_rows(df, keys=None, seed=SEED):
     task holds one class or one time range. Hash repartitioning gives that, and
     the sort inside each partition mixes the classes.
     """
-    return (df.withColumn("_order", order_key(keys or df.columns, seed))
+    return (df.withColumn("_order", shuffle_key(df.columns, keys, seed))
             .repartition("_order").sortWithinPartitions("_order").drop("_order"))

@@ -102,4 +102,6 @@ def kmeans_baseline(spark, sf_dir):
     """The baseline record with clustered centres, over all old rows."""
     old = old_flow(spark, sf_dir)
     scaled = apply_minmax(old, fit_minmax(old, FEATURES))
-    return drift.fit_drift(scaled, FEATURES, k=50, alpha=ALPHA, max_iter=20).config(spark)
+    fitted = drift.fit_drift(scaled, FEATURES, k=50, alpha=ALPHA, max_iter=20,
+                             partitions=spark.sparkContext.defaultParallelism)
+    return fitted.config(spark)

@@ -23,15 +23,14 @@ def session(app_name="flowgauge", master=None, **conf):
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark):
+def has_checkpoint_dir(spark):
     """Use the cluster's shared checkpoint folder; make one up only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir():
-        return
+        return True
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and context.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="flowgauge-")
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="flowgauge-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return bool(shared)

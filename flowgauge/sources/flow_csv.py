@@ -41,7 +41,8 @@ def _first_line(spark, paths):
     return first["value"]
 
 
-def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numbers="declared"):
+def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numbers="declared",
+                  source_column=None):
     """Table of a set of CSV files that share one header.
 
     ``encoding="auto"`` reads each file as UTF-8 when all its bytes are, otherwise
@@ -49,7 +50,8 @@ def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numb
     ``text_columns`` (after trimming, in any case) stay text, the others become
     doubles. With ``numbers="inferred"`` only columns whose every value is a number
     do. Values are read as text and cast, because a declared double column would
-    turn some spellings of infinity into null.
+    turn some spellings of infinity into null. ``source_column`` adds the part of the
+    file name before the first underscore or dot.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = header_names(_first_line(spark, paths))
@@ -71,12 +73,14 @@ def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numb
     if numbers == "inferred":
         text = sorted({*text, *_not_numeric(table, len(header))})
     cells = [F.col(f"_{i}") if i in text else F.col(f"_{i}").try_cast("double") for i in range(len(header))]
-    return table.select(*[cell.alias(name) for cell, name in zip(cells, header)])
+    source = [F.col("_source").alias(source_column)] if source_column else []
+    return table.select(*[cell.alias(name) for cell, name in zip(cells, header)], *source)
 
 
 def _read_text_cells(spark, paths, width, encoding):
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    return spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding=encoding, escape='"')
+    cells = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding=encoding, escape='"')
+    return cells.select(*cells.columns, F.regexp_extract("_metadata.file_name", r"^([^_.]+)", 1).alias("_source"))
 
 
 def _not_numeric(table, width):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowgauge.operators.columns import require_label
-from flowgauge.sources.flow_csv import UTF8, header_names
+from flowgauge.sources.flow_csv import read_flow_csv
 from flowgauge.sources.names import ATTACK_BY_SOURCE, NORMAL
 
 
@@ -22,20 +22,10 @@ def relabel_sources(df, source, source_map=None, label="label", normal=NORMAL):
     return df.withColumn(label, named.otherwise(F.col(label).cast("string")))
 
 
-def source_of_file():
-    """The part of the file name before the first underscore or dot."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^([^_.]+)", 1)
-
-
-def relabel_files(spark, paths, output, source_map=None, label="Label", encoding=UTF8):
+def relabel_files(spark, paths, output, source_map=None, label="Label", encoding="auto"):
     """Read all files at once, relabel by file, write Parquet partitioned by source.
 
     No index column is added. Files must share one header.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    header = header_names(spark.read.text(paths[0]).first()["value"])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    cells = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding=encoding, escape='"')
-    cells = cells.select(*[F.col(f"`{c}`") if c == label else F.col(f"`{c}`").try_cast("double").alias(c)
-                           for c in header], source_of_file().alias("source"))
+    cells = read_flow_csv(spark, paths, encoding=encoding, source_column="source")
     relabel_sources(cells, "source", source_map, label).write.mode("overwrite").partitionBy("source").parquet(output)

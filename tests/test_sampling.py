@@ -29,7 +29,7 @@ def brute_force(data, quota):
 
 def test_split_matches_brute_force(spark):
     data = [(i, "big") for i in range(900)] + [(i, "mid") for i in range(90)] + [(1, "one"), (1, "two"), (2, "two")]
-    split = sampling.stratified_split(frame(spark, data))
+    split = sampling.stratified_split(frame(spark, data), keys=["k", "label"])
     assert Counter(tuple(r) for r in split.select("k", "label").collect()) == Counter(data)
     test = Counter(tuple(r) for r in split.filter("split = 'test'").select("k", "label").collect())
     assert test == brute_force(data, lambda n: math.ceil(0.3 * n) if n > 1 else 0)
@@ -38,7 +38,7 @@ def test_split_matches_brute_force(spark):
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 6), st.sampled_from("ab")), min_size=1, max_size=60), st.integers(0, 20))
 def test_cap_is_exact_with_copies(spark, data, cap):
-    kept = sampling.cap_classes(frame(spark, data), cap=cap)
+    kept = sampling.cap_classes(frame(spark, data), cap=cap, keys=["k", "label"])
     got = Counter(tuple(r) for r in kept.collect())
     assert got == brute_force(data, lambda n: min(n, cap))
 
@@ -52,11 +52,18 @@ def test_one_row_with_most_of_the_copies(spark, monkeypatch):
     assert split.groupBy("k").count().filter("k = 7").first()["count"] == 1001
 
 
-def test_border_rows_are_not_sorted_as_a_class(spark):
-    plan = sampling.stratified_split(frame(spark, [(i, "a") for i in range(100)]))
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    window = text[text.index("Window"):]
-    assert "Aggregate" in window and "_prefix" in window
+def test_deciding_needs_no_shuffle_unless_rows_share_the_cut(spark):
+    def plan(data):
+        return sampling.stratified_split(frame(spark, data))._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange hashpartitioning" not in plan([(i, "a") for i in range(100)])
+    assert "Exchange hashpartitioning" in plan([(1, "a")] * 100)
+
+
+def test_rows_that_differ_outside_the_hashed_columns(spark):
+    data = spark.createDataFrame([(1, i, "a") for i in range(10)], "k int, v int, label string")
+    kept = sampling.cap_classes(data, cap=4, keys=["k"])
+    assert rows(kept, "v") == [(0,), (1,), (2,), (3,)]
 
 
 def test_null_class_has_a_quota(spark):
