@@ -35,7 +35,7 @@ def test_split_matches_brute_force(spark):
     assert test == brute_force(data, lambda n: math.ceil(0.3 * n) if n > 1 else 0)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 6), st.sampled_from("ab")), min_size=1, max_size=60), st.integers(0, 20))
 def test_cap_is_exact_with_copies(spark, data, cap):
     kept = sampling.cap_classes(frame(spark, data), cap=cap, keys=["k", "label"])
