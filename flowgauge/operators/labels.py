@@ -46,12 +46,12 @@ def encode_labels(df, labels, label=LABEL, index="idx"):
     coded = df.join(labels.select(label, F.col("idx").alias("_idx")), label, "left")
     message = F.concat(F.lit("unknown label: "), F.coalesce(F.col(label), F.lit("null")))
     checked = F.when(F.col("_idx").isNull(), F.raise_error(message)).otherwise(F.col("_idx"))
-    return coded.select(*df.columns, checked.cast("bigint").alias(index))
+    return coded.select(*[f"`{c}`" for c in df.columns], checked.cast("bigint").alias(index))
 
 
 def keep_known_labels(df, labels, label=LABEL):
     """Rows whose label is in the dictionary."""
-    return df.join(labels.select(label), label, "left_semi").select(*df.columns)
+    return df.join(labels.select(label), label, "left_semi").select(*[f"`{c}`" for c in df.columns])
 
 
 def retention(df, labels, label=LABEL):

@@ -41,8 +41,8 @@ def choose(df, label, quota, keys=None, seed=SEED, digits=PREFIX_DIGITS, column=
     (label, quota). A class without a quota keeps nothing. ``keys`` names the
     columns to hash; without them the whole row is hashed.
     """
-    columns = df.columns
-    keyed = df.withColumn("_order", shuffle_key(columns, keys, seed))
+    columns = quoted(df)
+    keyed = df.withColumn("_order", shuffle_key(df.columns, keys, seed))
     cuts = _cuts(keyed.select(F.col(label).alias("_class"), "_order"), label, quota, digits)
     marked = keyed.join(cuts, keyed[label].eqNullSafe(cuts["_class"]), "left").drop("_class")
     below = F.coalesce((F.col("_order") < F.col("_cut")) | ((F.col("_order") == F.col("_cut")) & ~F.col("_shared")),
@@ -54,6 +54,10 @@ def choose(df, label, quota, keys=None, seed=SEED, digits=PREFIX_DIGITS, column=
     return decided.unionByName(_divide(marked.filter(divided), columns, label, column))
 
 
+def quoted(df):
+    return [f"`{c}`" for c in df.columns]
+
+
 def _running(count, by, order):
     """Count up to and including a row, in order."""
     return F.sum(count).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
@@ -123,7 +127,7 @@ def test_quota(size, share=TEST_SHARE):
 def stratified_split(df, label=LABEL, share=TEST_SHARE, keys=None, seed=SEED):
     """Column ``split``: ``test`` for the share of every class, else ``train``."""
     flagged = choose(df, label, lambda n: test_quota(n, share), keys, seed, column="_test")
-    return flagged.select(*df.columns, F.when(F.col("_test"), "test").otherwise("train").alias("split"))
+    return flagged.select(*quoted(df), F.when(F.col("_test"), "test").otherwise("train").alias("split"))
 
 
 def take_quota(df, quota, label=LABEL, keys=None, seed=SEED):

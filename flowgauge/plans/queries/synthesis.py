@@ -7,7 +7,7 @@ from flowgauge.operators.labels import fit_labels
 from flowgauge.operators.sampling import stratified_split
 from flowgauge.plans.baseline import fit_baseline
 from flowgauge.plans.catalog import query
-from flowgauge.plans.flow import FEATURES, FLOW, KEYS, OLD_NEW, flow, new_flow, old_flow, split_sql
+from flowgauge.plans.flow import FEATURES, FLOW, HASH_ORDER, KEYS, OLD_NEW, flow, new_flow, old_flow, split_sql
 
 DISCRETE = ["l_quantity", "l_discount", "l_tax"]
 CONTINUOUS = ["l_extendedprice"]
@@ -72,6 +72,31 @@ def synthetic_rows(spark, sf_dir):
     return profiles.draw(_profiles(rows), quotas)
 
 
+_CAPPED = f"""{FLOW}, numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_ORDER}) AS rn
+FROM flow), capped AS (SELECT * FROM numbered WHERE rn <= 50000)"""
+
+
+@query(f"WITH {_CAPPED}, counts AS (" + " UNION ALL ".join(
+    f"SELECT label, '{c}' AS feature, {c} AS value, count(*) AS n FROM capped GROUP BY label, {c}" for c in DISCRETE)
+    + """) SELECT label, feature, value, round(sum(n) OVER (PARTITION BY label, feature ORDER BY value) /
+sum(n) OVER (PARTITION BY label, feature), 6) AS share FROM counts""")
+def profile_shares(spark, sf_dir):
+    """Running value shares of the discrete features, as profiled on capped classes."""
+    discrete = _profiles(flow(spark, sf_dir)).marginals.filter("kind = 'discrete'")
+    pairs = discrete.select("label", "feature", F.inline(F.arrays_zip("values", "shares")))
+    return pairs.select("label", "feature", F.col("values").alias("value"), F.round("shares", 6).alias("share"))
+
+
+@query(f"""WITH {_CAPPED}, edges AS (SELECT label, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
+count(*) AS n FROM capped GROUP BY label) SELECT label, n, low, high FROM edges""")
+def profile_ranges(spark, sf_dir):
+    """Rows profiled per class, and the ends of a continuous feature's quantiles."""
+    known = _profiles(flow(spark, sf_dir))
+    ends = known.marginals.filter("feature = 'l_extendedprice'").select(
+        "label", F.element_at("values", 1).alias("low"), F.element_at("values", -1).alias("high"))
+    return known.correlations.select("label", "n").join(ends, "label")
+
+
 @query()
 def class_profiles(spark, sf_dir):
     return _profiles(flow(spark, sf_dir)).marginals

@@ -94,3 +94,10 @@ def test_shuffle_keeps_all_rows(spark):
     data = [(i, "a") for i in range(100)]
     shuffled = [r.k for r in sampling.shuffle_rows(frame(spark, data)).collect()]
     assert sorted(shuffled) == list(range(100)) and shuffled != list(range(100))
+
+
+def test_column_names_with_dots(spark):
+    df = spark.createDataFrame([(1.0, i % 2, "a") for i in range(40)], "`v.1` double, `r/s` int, label string")
+    split = sampling.stratified_split(df)
+    assert split.columns == ["v.1", "r/s", "label", "split"]
+    assert rows(split.groupBy("split").count()) == [("test", 12), ("train", 28)]
