@@ -1,6 +1,6 @@
 """Documents to training sequences, stage by stage."""
 
-from flowgauge.llm import outliers, simhash
+from flowgauge.llm import mixing, outliers, packing, simhash, weak_pii
 from flowgauge.llm.shared import stored, table
 
 
@@ -12,9 +12,24 @@ def simhash_near_dedup(spark, docs, sf_dir):
     return simhash.keep_one(docs)
 
 
+def personal_data(spark, docs, sf_dir):
+    return weak_pii.redacted(docs)
+
+
+def source_mix(spark, docs, sf_dir):
+    return mixing.mixed(docs)
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    return packing.pack(packing.pieces(docs))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("simhash near-dedup", simhash_near_dedup),
+    ("personal data", personal_data),
+    ("source mix", source_mix),
+    ("best-fit packing", best_fit_packing),
 ]
 
 # Robust estimates, components and tokenizers are beyond SQL; see tests/llm/test_pipeline.py.

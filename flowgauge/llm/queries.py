@@ -1,8 +1,6 @@
 """The corpus queries by name and, where SQL can say them, their SQL."""
 
-from pyspark.sql import functions as F
-
-from flowgauge.llm import outliers, simhash
+from flowgauge.llm import mixing, outliers, packing, simhash, weak_pii
 from flowgauge.llm.shared import table
 
 QUERIES = {}
@@ -18,11 +16,26 @@ def query(sql=None):
     return register
 
 
+@query()
+def op2_best_two_fit(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op3_robust_outliers(spark, sf_dir):
     return outliers.quality(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_weak_supervision_pii(spark, sf_dir):
+    return weak_pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_exact_budget_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_pivot_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
