@@ -1,6 +1,7 @@
 """The corpus queries by name and, where SQL can say them, their SQL."""
 
-from flowgauge.llm import mixing, outliers, packing, simhash, weak_pii
+from flowgauge.llm import (html_paths, mixing, multiset_hash, outliers, packing, pseudo_lm, simhash, suffix_dedup, warc,
+                           weak_pii)
 from flowgauge.llm.shared import table
 
 QUERIES = {}
@@ -16,6 +17,11 @@ def query(sql=None):
     return register
 
 
+@query()
+def op1_consensus_paths(spark, sf_dir):
+    return html_paths.main_text(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op2_best_two_fit(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
@@ -26,6 +32,11 @@ def op3_robust_outliers(spark, sf_dir):
     return outliers.quality(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_multiset_hash(spark, sf_dir):
+    return multiset_hash.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_weak_supervision_pii(spark, sf_dir):
     return weak_pii.personal_data(table(spark, sf_dir, "documents"))
@@ -36,6 +47,34 @@ def op6_exact_budget_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("""
+    with payloads as (
+        select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as sha from pages),
+    firsts as (select sha, min(page_id) as first from payloads group by sha),
+    digits as (
+        select page_id, octet_length(body) as payload_bytes, first,
+               list_transform(range(8), lambda i: cast('0x' || substr(p.sha, 5 * i + 1, 5) as bigint)) as parts
+        from payloads p join firsts using (sha))
+    select page_id, payload_bytes,
+           list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               cast((parts[k // 4 + 1] // power(32, 3 - k % 4)::bigint) % 32 + 1 as integer), 1)), 'string_agg', '') as payload_digest,
+           case when page_id = first then 'response' else 'revisit' end as record_type,
+           case when page_id <> first then first end as refers_to
+    from digits""")
+def op7_indexed_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_pseudo_likelihood(spark, sf_dir):
+    return pseudo_lm.scored(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_pivot_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_difference_cover_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
