@@ -11,6 +11,7 @@ running count gives.
 """
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,8 +24,10 @@ from flowgauge.llm.shared import add_columns, pick, running_totals, stored
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 300_000        # words whose ids a task remembers
+CACHED = 500_000        # words of a generation whose ids a worker remembers
 CHUNK = 1 << 20         # characters that are tokenized at a time
+MARK = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|\Z)")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def tokenizer_file(name):
@@ -34,21 +37,59 @@ def tokenizer_file(name):
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes. White space never joins tokens of
-    this tokenizer, so every word is tokenized once and remembered."""
+    this tokenizer, so every word is tokenized once and remembered, in two generations:
+    a word of the older one that occurs again moves to the younger.
+
+    The tokenizer lowers case itself and parts letters from marks, so words are looked
+    up in lower case (A-Z) and without a point or comma behind a letter, unless a text
+    may hold special tokens, whose strings it takes as they are."""
 
     def __init__(self, path):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _tokenized(self, words):
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _tokenized_plain(self, words):
+        """Words of letters alone: in one go, cut behind every token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(words) + 1:
+            return self._tokenized(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def __call__(self, texts):
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for word, got in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        split = []
+        for text in texts:
+            data = text.encode("utf-8", "replace")
+            split.append((data if b"<|" in data else MARK.sub(rb" \g<0>", data.lower())).split())
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        new = set().union(*split).difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update((word, self.old[word]) for word in again)
+        decoded = {word: word.decode() for word in new.difference(again)}
+        for plain, how in ((True, self._tokenized_plain), (False, self._tokenized)):
+            some = [word for word, text in decoded.items() if bool(PLAIN.fullmatch(text)) == plain]
+            if some:
+                self.young.update(zip(some, how([decoded[word] for word in some])))
+        return [b"".join(map(self.young.__getitem__, words)) for words in split]
+
+
+_ENCODERS = {}
+
+
+def encoder(path):
+    """The encoder of this worker process, with what it remembers from earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _chunks(texts):
@@ -74,7 +115,7 @@ def pieces(docs, tokenizer=TOKENIZER, capacity=CAPACITY, with_ids=False):
     fields += [StructField("ids", ArrayType(IntegerType(), False))] if with_ids else []
 
     def run(batches):
-        encode = Encoder(tokenizer_file(tokenizer))
+        encode = encoder(tokenizer_file(tokenizer))
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
