@@ -31,3 +31,11 @@ class NotFitted(FlowGaugeError):
 
 class HeaderMismatch(FlowGaugeError):
     """Files read together do not share one header line."""
+
+
+class NameCollision(FlowGaugeError):
+    """Several columns of a table are spellings of one canonical name."""
+
+    def __init__(self, clashes):
+        self.clashes = clashes
+        super().__init__("; ".join(f"{name}: {', '.join(columns)}" for name, columns in sorted(clashes.items())))

@@ -1,37 +1,48 @@
 """Tables that are expected to be small: evaluate once, check, then reuse.
 
-A fitted table (a few rows per class or feature) is brought to the driver only as
-far as a fixed bound. Below the bound it becomes a local relation whose exact size
-the optimizer knows, so joins broadcast it under Spark's own size threshold and no
-hint is needed. Above the bound the table stays as it was and the same join is
-planned as a shuffle join.
+A fitted table (a few rows per class or feature) is brought to the driver when its
+bytes have a bound: rows are fetched only as far as their declared width allows. Then
+it is a local relation whose exact size the optimizer knows, so joins broadcast it under
+Spark's own size threshold and no hint is needed. Beyond the bound the table is written
+to the shared folder, with the same rows, and joins follow its real size.
 """
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from flowgauge.session import has_checkpoint_dir
+from flowgauge.session import stored
 
-MAX_ROWS = 10_000
 MAX_BYTES = 8 * 1024 * 1024
+# Bytes allowed for a value whose type has no fixed width, unless the caller knows better.
+TEXT_WIDTH, ARRAY_WIDTH = 256, 4096
 
 
-def settle(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES, keep=False):
-    """Local copy of a small table. Over the bound: the table itself or, with
-    ``keep``, its checkpoint where the session has a folder for it, for tables that
-    are read more than once."""
-    head = bounded_arrow(df, max_rows, max_bytes)
-    if head is not None:
-        return df.sparkSession.createDataFrame(head, df.schema)
-    return df.checkpoint() if keep and has_checkpoint_dir(df.sparkSession) else df
+def declared_width(schema):
+    """Bytes a row may take, from its types."""
+    def one(kind):
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return TEXT_WIDTH
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return ARRAY_WIDTH
+        if isinstance(kind, T.StructType):
+            return declared_width(kind)
+        return 16
+    return sum(one(f.dataType) for f in schema.fields)
+
+
+def settle(df, width=None, max_bytes=MAX_BYTES):
+    """The evaluated table; ``width`` is the bytes of a row where types do not tell."""
+    head = bounded_arrow(df, width, max_bytes)
+    return stored(df, "settled") if head is None else df.sparkSession.createDataFrame(head, df.schema)
 
 
-def bounded_arrow(df, max_rows=MAX_ROWS, max_bytes=MAX_BYTES):
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows or head.nbytes > max_bytes:
-        return None
-    return head
+def bounded_arrow(df, width=None, max_bytes=MAX_BYTES):
+    """All rows if they are fewer than the bound allows for their width, else None."""
+    most = max(1, max_bytes // (width or declared_width(df.schema)))
+    head = df.limit(most + 1).toArrow()
+    return None if head.num_rows > most else head
 
 
 def local_table(spark, columns, schema):
@@ -43,7 +54,7 @@ def dense_index(distinct, column, index="idx"):
     """Number the sorted values of an already distinct column 0..n-1.
 
     Small inputs are numbered on the driver. Larger ones are range-partitioned and
-    checkpointed, so that each partition's offset and its rows come from the same
+    written, so that each partition's offset and its rows come from the same
     files, and no task sees more than one range.
     """
     spark = distinct.sparkSession
@@ -55,12 +66,8 @@ def dense_index(distinct, column, index="idx"):
         arrays = {column: pa.array(ordered, head.column(0).type),
                   index: pa.array(range(len(ordered)), pa.int64())}
         return spark.createDataFrame(pa.table(arrays), schema)
-    if not has_checkpoint_dir(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    ranged = (values.filter(F.col(column).isNotNull())
-              .repartitionByRange(column)
-              .withColumn("_part", F.spark_partition_id())
-              .checkpoint())
+    ranged = stored(values.filter(F.col(column).isNotNull()).repartitionByRange(column)
+                    .withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_from"))
     place = F.row_number().over(W.partitionBy("_part").orderBy(column))

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from flowgauge.errors import MissingFeatures, MissingLabel, NoFeatures
+from flowgauge.errors import MissingFeatures, MissingLabel, NameCollision, NoFeatures
 from flowgauge.functions.numeric import numeric_columns
 
 _COPY_SUFFIX = re.compile(r"\.\d+$")
@@ -37,7 +37,20 @@ def underscore_names(df):
     return _rename_keeping_first(df, [c.replace(" ", "_") for c in df.columns])
 
 
+def rename_collisions(df, rename_map):
+    """Canonical names that several columns map to, each with those columns."""
+    spelled = {}
+    for c in df.columns:
+        spelled.setdefault(rename_map.get(c, c), []).append(c)
+    return {name: columns for name, columns in spelled.items() if len(set(columns)) > 1}
+
+
 def rename_by_map(df, rename_map):
+    """Canonical names for known spellings. Two spellings of one name in a table are an
+    error: which of the columns is meant cannot be told (see ``rename_collisions``)."""
+    clashes = rename_collisions(df, rename_map)
+    if clashes:
+        raise NameCollision(clashes)
     return _rename_keeping_first(df, [rename_map.get(c, c) for c in df.columns])
 
 

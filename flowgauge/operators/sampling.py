@@ -7,24 +7,33 @@ of a class does not sort the class:
 
 1. count rows per (class, hash prefix), a map-side-combined aggregate, and find per
    class the prefix in which the running count reaches ``q``;
-2. count rows per hash within that one prefix and find the hash at which ``q`` is
-   reached; when keys are named, only they have been read so far;
-3. compare every row's hash with its class's cut, where the row is read: a join
+2. lengthen the prefix inside the one that was found, until it holds few rows or one
+   hash: a step more for every thousandfold in rows, whatever share a class has;
+3. count rows per hash within that prefix and find the hash at which ``q`` is reached;
+   when keys are named, only they have been read so far;
+4. compare every row's hash with its class's cut, where the row is read: a join
    with one row per class and no shuffle of the data.
 
-Only when rows share the cut hash and some of them are over the quota is there a
-fourth step. Those rows are counted per distinct row, not numbered, so a row with
-most of the copies stays a single counted row until it is written out in blocks.
+A class's size thus never reaches a task; a window sees at most ``WITHIN`` rows or the
+prefixes of one step. The steps run the input's plan again: give a costly input as a
+written table.
+
+Only when rows share the cut hash and some of them are over the quota is there a last
+step. Those rows are counted per distinct row, not numbered, so a row with most of the
+copies stays a single counted row until it is written out in blocks; distinct rows are
+summed up in ranges.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from flowgauge.functions.hashing import SEED, shuffle_key
+from flowgauge.functions.running import running_totals
 from flowgauge.functions.small import settle
 from flowgauge.sources.names import LABEL, MAJORITY
 
 PREFIX_DIGITS = 3
+WITHIN = 10_000
 COPIES_PER_TASK = 100_000
 TEST_SHARE = 0.3
 CLASS_CAP = 50_000
@@ -63,27 +72,45 @@ def _running(count, by, order):
     return F.sum(count).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
 
 
-def _cuts(hashes, label, quota, digits):
-    """(_class, _cut, _left, _shared): the last hash taken, how many of its rows are
-    taken, and whether that is not all of them."""
-    prefixed = hashes.withColumn("_prefix", F.substring("_order", 1, digits))
-    sizes = prefixed.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("_class", "_prefix", "_n", _running("_n", "_class", ["_prefix"]).alias("_upto"),
-                         F.sum("_n").over(W.partitionBy("_class")).alias("_size"))
-    if callable(quota):
+def _narrowed(hashes, near, quota, label, length, digits):
+    """(_of, _within, _need, _rows, _one): per class the prefix of ``length + digits`` in
+    which the quota is reached, how many of its rows are to be taken, how many it has,
+    and whether they share one hash. ``near`` is the step before, or None."""
+    longer = hashes.withColumn("_prefix", F.substring("_order", 1, length + digits))
+    if near is not None:
+        known = near.filter(F.col("_within") != _WHOLE_CLASS).select("_of", "_within", "_need")
+        longer = longer.join(known, longer["_class"].eqNullSafe(known["_of"]) & (F.substring("_order", 1, length) == known["_within"]))
+    needed = [] if near is None else ["_need"]
+    sizes = longer.groupBy("_class", "_prefix", *needed).agg(
+        F.count(F.lit(1)).alias("_n"), (F.min("_order") == F.max("_order")).alias("_one"))
+    sizes = sizes.withColumns({"_upto": _running("_n", "_class", ["_prefix"]), "_size": F.sum("_n").over(W.partitionBy("_class"))})
+    if near is not None:
+        sizes = sizes.withColumn("_quota", F.col("_need"))
+    elif callable(quota):
         sizes = sizes.withColumn("_quota", quota(F.col("_size")).cast("bigint"))
     else:
         wanted = quota.select(F.col(label).alias("_for"), F.col("quota").cast("bigint").alias("_quota"))
         sizes = sizes.join(wanted, sizes["_class"].eqNullSafe(wanted["_for"])).drop("_for")
     before = F.col("_upto") - F.col("_n")
-    whole = F.col("_quota") >= F.col("_size")
+    whole = F.lit(near is None) & (F.col("_quota") >= F.col("_size"))
     reached = (before < F.col("_quota")) & (F.col("_quota") <= F.col("_upto"))
     last = F.col("_upto") == F.col("_size")
-    near = settle(
-        sizes.filter((F.col("_quota") > 0) & F.when(whole, last).otherwise(reached))
-        .select(F.col("_class").alias("_of"), F.when(whole, _WHOLE_CLASS).otherwise(F.col("_prefix")).alias("_within"),
-                (F.col("_quota") - before).alias("_need")), keep=True)
-    inside = prefixed.join(near, prefixed["_class"].eqNullSafe(near["_of"]) & (F.col("_prefix") == F.col("_within")))
+    found = sizes.filter((F.col("_quota") > 0) & F.when(whole, last).otherwise(reached)).select(
+        F.col("_class").alias("_of"), F.when(whole, _WHOLE_CLASS).otherwise(F.col("_prefix")).alias("_within"),
+        (F.col("_quota") - before).alias("_need"), F.when(whole, 0).otherwise(F.col("_n")).alias("_rows"), "_one")
+    if near is not None:
+        found = found.unionByName(near.filter(F.col("_within") == _WHOLE_CLASS))
+    return settle(found)
+
+
+def _cuts(hashes, label, quota, digits):
+    """(_class, _cut, _left, _shared): the last hash taken, how many of its rows are
+    taken, and whether that is not all of them."""
+    near, length = None, 0
+    while near is None or not near.filter((F.col("_rows") > WITHIN) & ~F.col("_one")).isEmpty():
+        near = _narrowed(hashes, near, quota, label, length, digits)
+        length += digits
+    inside = hashes.join(near, hashes["_class"].eqNullSafe(near["_of"]) & (F.substring("_order", 1, length) == F.col("_within")))
     counted = inside.groupBy("_class", "_order", "_need").agg(F.count(F.lit(1)).alias("_n"))
     counted = counted.withColumn("_left", F.col("_need") - _running("_n", "_class", ["_order"]) + F.col("_n"))
     exact = (counted.filter(F.col("_left").between(1, F.col("_n")))
@@ -91,15 +118,16 @@ def _cuts(hashes, label, quota, digits):
     all_rows = near.filter(F.col("_within") == _WHOLE_CLASS).select(
         F.col("_of").alias("_class"), F.col("_within").alias("_cut"), F.lit(0).cast("bigint").alias("_left"),
         F.lit(False).alias("_shared"))
-    return settle(exact.unionByName(all_rows), keep=True)
+    return settle(exact.unionByName(all_rows))
 
 
 def _divide(rows, columns, label, column):
     """Split rows with the same hash: distinct rows in order, copies by number."""
     groups = rows.groupBy(*columns, "_order", "_left").agg(F.count(F.lit(1)).alias("_copies"))
-    room = F.col("_left") - _running("_copies", label, columns) + F.col("_copies")
-    groups = groups.withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("_copies"), room)))
-    parts = groups.select(*columns, "_order", F.inline(F.array(
+    groups = groups.withColumns({"_none": F.col(label).isNull(), "_key": F.coalesce(F.col(label).cast("string"), F.lit(""))})
+    placed = running_totals(groups, ["_none", "_key"], columns, "_copies", "_before", "divided")
+    placed = placed.withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("_copies"), F.col("_left") - F.col("_before"))))
+    parts = placed.select(*columns, "_order", F.inline(F.array(
         F.struct(F.lit(True).alias(column), F.col("_taken").alias("_times")),
         F.struct(F.lit(False).alias(column), (F.col("_copies") - F.col("_taken")).alias("_times")))))
     return repeat_rows(parts.filter("_times > 0"), "_times", "_order").select(*columns, column)

@@ -19,8 +19,6 @@ from flowgauge.operators.scaling import RANGE, apply_minmax, as_doubles, fitted_
 from flowgauge.operators.weights import weights_of_sizes
 from flowgauge.sources.names import LABEL
 
-MAX_STATS = 100_000
-
 
 @dataclass
 class Baseline:
@@ -67,8 +65,7 @@ def fit_baseline(train, features, label=LABEL):
     require_label(train, label)
     if not features:
         raise NoFeatures("no feature to fit")
-    stats = settle(per_column(train, as_doubles(features), {"n": _rows, **RANGE}, by=[label]), max_rows=MAX_STATS,
-                   keep=True)
+    stats = settle(per_column(train, as_doubles(features), {"n": _rows, **RANGE}, by=[label]))
     ranges = stats.groupBy("ordinal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ranges = with_names(ranges, features, "feature").select("feature", "ordinal", "low", "high")
     sizes = stats.filter("ordinal = 0").select(label, "n")

@@ -16,9 +16,7 @@ def _rounded(df, *names):
 
 def _fitted(spark, sf_dir):
     """(scaler, centroids): ranges of the old rows and their scaled class means."""
-    old = old_flow(spark, sf_dir)
-    scaler = fit_minmax(old, FEATURES)
-    return scaler, drift.class_means(apply_minmax(old, scaler, ["label"]), FEATURES, "label")
+    return drift.ranges_and_class_means(old_flow(spark, sf_dir), FEATURES, "label")
 
 
 def _baseline(spark, sf_dir):
@@ -97,11 +95,20 @@ def drift_by_window(spark, sf_dir):
     return _rounded(windows, "outlier_ratio", "base_outlier_ratio", "or_value")
 
 
-@query()
+@query(f"""WITH {OLD} SELECT CAST(50 AS BIGINT) AS k_clusters, {ALPHA}e0 AS alpha, 2e0 AS or_threshold_t,
+count(*) AS n_rows, true AS centres_in_range, true AS threshold_follows, true AS share_follows FROM old""")
 def kmeans_baseline(spark, sf_dir):
-    """The baseline record with clustered centres, over all old rows."""
+    """The record with clustered centres, and whether threshold and base share are those
+    of the distances to the centres it returns."""
     old = old_flow(spark, sf_dir)
     scaled = apply_minmax(old, fit_minmax(old, FEATURES))
-    fitted = drift.fit_drift(scaled, FEATURES, k=50, alpha=ALPHA, max_iter=20,
-                             partitions=spark.sparkContext.defaultParallelism)
-    return fitted.config(spark)
+    fitted = drift.fit_drift(scaled, FEATURES, alpha=ALPHA, partitions=spark.sparkContext.defaultParallelism)
+    gaps = [[(F.col(c) - v) ** 2 for c, v in zip(FEATURES, point)] for point in fitted.centroids]
+    distance = F.sqrt(F.array_min(F.array(*[sum(squares[1:], squares[0]) for squares in gaps]))).alias("distance")
+    beyond = F.avg(F.when(F.col("distance") > fitted.ci_threshold, 1.0).otherwise(0.0))
+    found = scaled.select(distance).agg((F.avg("distance") + ALPHA * F.stddev_pop("distance")).alias("ci"), beyond.alias("share"))
+    inside = all(-1e-6 <= v <= 1 + 1e-6 for point in fitted.centroids for v in point)
+    return fitted.config(spark).join(found).select(
+        "k_clusters", "alpha", "or_threshold_t", "n_rows", F.lit(inside).alias("centres_in_range"),
+        (F.abs(F.col("ci") - F.col("ci_threshold")) < 1e-6).alias("threshold_follows"),
+        (F.abs(F.col("share") - F.when(F.col("base_was_zero"), 0.0).otherwise(F.col("base_outlier_ratio"))) < 1e-6).alias("share_follows"))

@@ -7,7 +7,7 @@ from flowgauge.operators.labels import fit_labels
 from flowgauge.operators.sampling import stratified_split
 from flowgauge.plans.baseline import fit_baseline
 from flowgauge.plans.catalog import query
-from flowgauge.plans.flow import FEATURES, FLOW, HASH_ORDER, KEYS, OLD_NEW, flow, new_flow, old_flow, split_sql
+from flowgauge.plans.flow import FEATURES, FLOW, KEYS, OLD_NEW, flow, new_flow, old_flow, split_sql
 
 DISCRETE = ["l_quantity", "l_discount", "l_tax"]
 CONTINUOUS = ["l_extendedprice"]
@@ -15,7 +15,7 @@ CANDIDATES = [*DISCRETE, "l_linenumber", "l_suppkey", "l_extendedprice"]
 
 
 def _profiles(rows):
-    return profiles.fit_profiles(rows, DISCRETE, CONTINUOUS, keys=KEYS)
+    return profiles.fit_profiles(rows, DISCRETE, CONTINUOUS)
 
 
 @query(f"WITH {FLOW}, counted AS (" + " UNION ALL ".join(
@@ -57,38 +57,45 @@ def synthetic_counts(spark, sf_dir):
     """Rows drawn per class, and whether they stay within what the class has shown."""
     old = old_flow(spark, sf_dir)
     drawn = profiles.draw(_profiles(old), balance.quota_match(_new_train(spark, sf_dir), fit_labels(old)))
-    shown = old.groupBy("label").agg(F.min("l_extendedprice").alias("_low"), F.max("l_extendedprice").alias("_high"),
-                                     F.collect_set("l_quantity").alias("_seen"))
-    return drawn.join(shown, "label").groupBy("label").agg(
+    seen = old.select("label", "l_quantity").distinct().withColumn("_seen", F.lit(True))
+    ends = old.groupBy("label").agg(F.min("l_extendedprice").alias("_low"), F.max("l_extendedprice").alias("_high"))
+    return drawn.join(seen, ["label", "l_quantity"], "left").join(ends, "label").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
-        F.bool_and(F.array_contains("_seen", F.col("l_quantity"))).alias("quantity_seen"),
+        F.bool_and(F.coalesce("_seen", F.lit(False))).alias("quantity_seen"),
         F.bool_and(F.col("l_extendedprice").between(F.col("_low"), F.col("_high"))).alias("price_in_range"))
 
 
-@query()
+@query(f"""WITH {FLOW}, known AS (SELECT DISTINCT label FROM flow)
+SELECT label, CAST(ceil((SELECT count(*) FROM flow) / (SELECT count(*) FROM known)) AS BIGINT) AS n,
+0::BIGINT AS n_strange, 0::BIGINT AS n_out_of_range FROM known""")
 def synthetic_rows(spark, sf_dir):
+    """Rows drawn for equal quotas, and those with a value their class has not shown or
+    outside its range."""
     rows = flow(spark, sf_dir)
-    quotas = balance.quota_equal(rows, fit_labels(rows))
-    return profiles.draw(_profiles(rows), quotas)
-
-
-_CAPPED = f"""{FLOW}, numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_ORDER}) AS rn
-FROM flow), capped AS (SELECT * FROM numbered WHERE rn <= 50000)"""
-
-
-@query(f"WITH {_CAPPED}, counts AS (" + " UNION ALL ".join(
-    f"SELECT label, '{c}' AS feature, {c} AS value, count(*) AS n FROM capped GROUP BY label, {c}" for c in DISCRETE)
+    drawn = profiles.draw(_profiles(rows), balance.quota_equal(rows, fit_labels(rows)))
+    shown = [rows.select("label", c).distinct().withColumn(f"_{c}", F.lit(True)) for c in DISCRETE]
+    for c, values in zip(DISCRETE, shown):
+        drawn = drawn.join(values, ["label", c], "left")
+    ends = rows.groupBy("label").agg(F.min("l_extendedprice").alias("_low"), F.max("l_extendedprice").alias("_high"))
+    strange = ~(F.col(f"_{DISCRETE[0]}").isNotNull() & F.col(f"_{DISCRETE[1]}").isNotNull() & F.col(f"_{DISCRETE[2]}").isNotNull())
+    return drawn.join(ends, "label").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(strange).alias("n_strange"),
+        F.count_if(~F.col("l_extendedprice").between(F.col("_low"), F.col("_high"))).alias("n_out_of_range"))
+
+
+@query(f"WITH {FLOW}, counts AS (" + " UNION ALL ".join(
+    f"SELECT label, '{c}' AS feature, {c} AS value, count(*) AS n FROM flow GROUP BY label, {c}" for c in DISCRETE)
     + """) SELECT label, feature, value, round(sum(n) OVER (PARTITION BY label, feature ORDER BY value) /
 sum(n) OVER (PARTITION BY label, feature), 6) AS share FROM counts""")
 def profile_shares(spark, sf_dir):
-    """Running value shares of the discrete features, as profiled on capped classes."""
+    """Running value shares of the discrete features, as profiled."""
     discrete = _profiles(flow(spark, sf_dir)).marginals.filter("kind = 'discrete'")
     pairs = discrete.select("label", "feature", F.inline(F.arrays_zip("values", "shares")))
     return pairs.select("label", "feature", F.col("values").alias("value"), F.round("shares", 6).alias("share"))
 
 
-@query(f"""WITH {_CAPPED}, edges AS (SELECT label, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
-count(*) AS n FROM capped GROUP BY label) SELECT label, n, low, high FROM edges""")
+@query(f"""WITH {FLOW}, edges AS (SELECT label, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
+count(*) AS n FROM flow GROUP BY label) SELECT label, n, low, high FROM edges""")
 def profile_ranges(spark, sf_dir):
     """Rows profiled per class, and the ends of a continuous feature's quantiles."""
     known = _profiles(flow(spark, sf_dir))
@@ -97,9 +104,17 @@ def profile_ranges(spark, sf_dir):
     return known.correlations.select("label", "n").join(ends, "label")
 
 
-@query()
+@query(f"WITH {FLOW}, " + "cells AS (" + " UNION ALL ".join(
+    f"SELECT label, '{c}' AS feature, {'true' if c in DISCRETE else 'false'} AS candidate, {c} AS value FROM flow" for c in FEATURES)
+    + f""")
+SELECT label, feature, CASE WHEN candidate AND count(DISTINCT value) <= 100 THEN 'discrete' ELSE 'continuous' END AS kind,
+CASE WHEN candidate AND count(DISTINCT value) <= 100 THEN count(DISTINCT value) ELSE {len(profiles.QUANTILES)} END AS n_values,
+min(value) AS low, max(value) AS high FROM cells GROUP BY label, feature, candidate""")
 def class_profiles(spark, sf_dir):
-    return _profiles(flow(spark, sf_dir)).marginals
+    """Kind, points and extremes of every class and feature."""
+    return _profiles(flow(spark, sf_dir)).marginals.select(
+        "label", "feature", "kind", F.size("values").cast("bigint").alias("n_values"),
+        F.element_at("values", 1).alias("low"), F.element_at("values", -1).alias("high"))
 
 
 @query(f"""WITH {_NEW_TRAIN}, {_QUOTA}

@@ -1,6 +1,9 @@
-"""Session defaults and the shared folder for checkpoints."""
+"""Session defaults and the folder that all executors share."""
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,14 +26,26 @@ def session(app_name="flowgauge", master=None, **conf):
     return builder.getOrCreate()
 
 
-def has_checkpoint_dir(spark):
-    """Use the cluster's shared checkpoint folder; make one up only in local mode."""
+def shared_folder(spark):
+    """The folder in ``spark.checkpoint.dir``. Only a session that runs in one process
+    (``local[...]``, as in tests) may leave it unset: it gets a folder of its own, which
+    goes with the process. On a cluster the setting is required."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return True
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and context.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="flowgauge-")
-    if shared:
-        context.setCheckpointDir(shared)
-    return bool(shared)
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="flowgauge-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    context.setCheckpointDir("file://" + made)
+    return "file://" + made
+
+
+def stored(df, what="table"):
+    """Written once as Parquet in the shared folder and read back: cuts lineage, survives
+    lost executors, and gives the optimizer the table's real size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,9 +4,9 @@ import csv
 from collections import Counter
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowgauge.errors import HeaderMismatch
+from flowgauge.session import stored
 from flowgauge.sources.names import TEXT_COLUMNS
 
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
@@ -22,14 +22,13 @@ def header_names(line):
     return names
 
 
-def inspect_files(spark, paths):
-    """(file, valid_utf8, n_header): one pass over the raw bytes of every line.
+def inspect_files(lines, header):
+    """(file, valid_utf8, n_header) of every file, from one pass over the raw bytes of
+    every line.
 
     The text reader keeps the bytes as they are, so validity is exact, unlike a
     search for replacement characters, which may also be genuine.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    header = _first_line(spark, paths)
     return lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid_utf8"),
                                      F.count_if(F.col("value") == header).alias("n_header"))
 
@@ -46,7 +45,9 @@ def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numb
     """Table of a set of CSV files that share one header.
 
     ``encoding="auto"`` reads each file as UTF-8 when all its bytes are, otherwise
-    as Latin-1; naming an encoding saves the inspection pass. Columns named in
+    as Latin-1; a named encoding (one that keeps ASCII as it is) holds for all. Either way
+    a pass over the lines checks that every file has the first one's header, and its
+    result, a row per file, stays a table: the files may be many. Columns named in
     ``text_columns`` (after trimming, in any case) stay text, the others become
     doubles. With ``numbers="inferred"`` only columns whose every value is a number
     do. Values are read as text and cast, because a declared double column would
@@ -54,21 +55,14 @@ def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numb
     file name before the first underscore or dot.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    header = header_names(_first_line(spark, paths))
-    if encoding == "auto":
-        files = inspect_files(spark, paths).collect()
-        strange = [f["file"] for f in files if not f["n_header"]]
-        if strange:
-            raise HeaderMismatch(f"other header than the first file: {', '.join(sorted(strange)[:5])}")
-        groups = {UTF8: [f["file"] for f in files if f["valid_utf8"]],
-                  LATIN1: [f["file"] for f in files if not f["valid_utf8"]]}
-    else:
-        groups = {encoding: paths}
-    table = None
-    for name, members in groups.items():
-        if members:
-            part = _read_text_cells(spark, members, len(header), name)
-            table = part if table is None else table.unionByName(part)
+    first = _first_line(spark, paths)
+    header = header_names(first)
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    files = stored(inspect_files(lines, first), "files")
+    strange = [r["file"] for r in files.filter("n_header = 0").orderBy("file").limit(5).collect()]
+    if strange:
+        raise HeaderMismatch(f"other header than the first file: {', '.join(strange)}")
+    table = _cells(lines, files, first, len(header), encoding)
     text = [i for i, c in enumerate(header) if c.strip().lower() in text_columns]
     if numbers == "inferred":
         text = sorted({*text, *_not_numeric(table, len(header))})
@@ -77,10 +71,20 @@ def read_flow_csv(spark, paths, text_columns=TEXT_COLUMNS, encoding="auto", numb
     return table.select(*[cell.alias(name) for cell, name in zip(cells, header)], *source)
 
 
-def _read_text_cells(spark, paths, width, encoding):
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    cells = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True, encoding=encoding, escape='"')
-    return cells.select(*cells.columns, F.regexp_extract("_metadata.file_name", r"^([^_.]+)", 1).alias("_source"))
+def _cells(lines, files, header, width, encoding):
+    """Every line but the headers as text cells, decoded by its file's encoding."""
+    raw = F.col("value").cast("binary")
+    if encoding == "auto":
+        lines = lines.join(files.select("file", "valid_utf8"), "file")
+        line = F.when(F.col("valid_utf8"), F.col("value")).otherwise(F.decode(raw, LATIN1))
+    else:
+        line = F.decode(raw, encoding)
+    schema = ", ".join(f"_{i} string" for i in range(width))
+    blank = F.trim("value") == ""
+    parsed = lines.filter((F.col("value") != F.lit(header)) & ~blank).select(
+        F.from_csv(line, schema, {"escape": '"'}).alias("_line"),
+        F.regexp_extract(F.regexp_extract("file", r"([^/]*)$", 1), r"^([^_.]+)", 1).alias("_source"))
+    return parsed.select("_line.*", "_source")
 
 
 def _not_numeric(table, width):

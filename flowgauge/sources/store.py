@@ -1,6 +1,7 @@
 """Fitted parameters, models and reports on shared storage."""
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,65 +12,87 @@ from flowgauge.operators.profiles import Profiles
 from flowgauge.plans.baseline import Baseline
 
 
-def _write(table, *parts):
-    table.write.mode("overwrite").parquet(os.path.join(*parts))
-
-
 def _read(spark, *parts):
     path = os.path.join(*parts)
     try:
         return spark.read.parquet(path)
     except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             raise NotFitted(f"nothing saved at {path}") from error
         raise
 
 
+def _versions(spark, path):
+    return _read(spark, path, "versions").orderBy(F.desc("number"))
+
+
+def _save(spark, path, tables):
+    """Write all tables as a new version, then append its name to the list of versions.
+    What was loaded from here before stays readable, and a save that breaks off leaves
+    the last whole version in place."""
+    try:
+        number = _versions(spark, path).first()["number"] + 1
+    except NotFitted:
+        number = 1
+    name = f"version-{uuid.uuid4().hex}"
+    for part, table in tables.items():
+        if callable(table):
+            table(os.path.join(path, name, part))
+        else:
+            table.write.parquet(os.path.join(path, name, part))
+    spark.range(1).select(F.lit(number).cast("bigint").alias("number"), F.lit(name).alias("name")).coalesce(1).write.mode(
+        "append").parquet(os.path.join(path, "versions"))
+
+
+def _current(spark, path):
+    """Folder of the last whole version."""
+    return os.path.join(path, _versions(spark, path).first()["name"])
+
+
 def save_baseline(baseline, path):
-    _write(baseline.scaler, path, "scaler")
-    _write(baseline.labels, path, "labels")
-    _write(baseline.weights, path, "weights")
+    _save(baseline.scaler.sparkSession, os.path.join(path, "baseline"), {"scaler": baseline.scaler, "labels": baseline.labels, "weights": baseline.weights})
 
 
 def load_baseline(spark, path):
-    return Baseline(*[_read(spark, path, part) for part in ("scaler", "labels", "weights")])
+    folder = _current(spark, os.path.join(path, "baseline"))
+    return Baseline(*[_read(spark, folder, part) for part in ("scaler", "labels", "weights")])
 
 
 def save_drift(spark, drift, path):
-    _write(drift.config(spark).withColumn("features", F.array(*[F.lit(f) for f in drift.features])),
-           path, "drift_config")
-    _write(drift.centroid_table(spark), path, "centroids")
+    config = drift.config(spark).withColumn("features", F.array(*[F.lit(f) for f in drift.features]))
+    _save(spark, os.path.join(path, "drift"), {"drift_config": config, "centroids": drift.centroid_table(spark)})
 
 
 def load_drift(spark, path):
-    config = _read(spark, path, "drift_config").first()
-    centroids = [list(r["centroid"]) for r in _read(spark, path, "centroids").orderBy("cluster").collect()]
+    folder = _current(spark, os.path.join(path, "drift"))
+    config = _read(spark, folder, "drift_config").first()
+    centroids = [list(r["centroid"]) for r in _read(spark, folder, "centroids").orderBy("cluster").collect()]
     return DriftBaseline(list(config["features"]), centroids, config["alpha"], config["mean_distance"],
                          config["std_distance"], config["ci_threshold"], config["base_outlier_ratio"],
                          config["base_was_zero"], config["or_threshold_t"], config["n_rows"])
 
 
 def save_profiles(profiles, path):
-    _write(profiles.marginals, path, "marginals")
-    _write(profiles.correlations, path, "correlations")
+    _save(profiles.marginals.sparkSession, os.path.join(path, "profiles"), {"marginals": profiles.marginals, "correlations": profiles.correlations})
 
 
 def load_profiles(spark, path, label="label"):
-    marginals, correlations = _read(spark, path, "marginals"), _read(spark, path, "correlations")
+    folder = _current(spark, os.path.join(path, "profiles"))
+    marginals, correlations = _read(spark, folder, "marginals"), _read(spark, folder, "correlations")
     first = correlations.select("features").first()
     return Profiles(marginals, correlations, list(first["features"]) if first else [], label)
 
 
 def save_detector(spark, detector, path):
-    detector.model.write().overwrite().save(os.path.join(path, "model"))
     about = spark.range(1).select(F.lit(detector.kind).alias("kind"),
                                   F.array(*[F.lit(f) for f in detector.features]).alias("features"))
-    _write(about, path, "about")
+    _save(spark, os.path.join(path, "detector"), {"model": detector.model.save, "about": about})
 
 
 def load_detector(spark, path):
-    about = _read(spark, path, "about").first()
-    return Detector(MODELS[about["kind"]].load(os.path.join(path, "model")), list(about["features"]), about["kind"])
+    folder = _current(spark, os.path.join(path, "detector"))
+    about = _read(spark, folder, "about").first()
+    return Detector(MODELS[about["kind"]].load(os.path.join(folder, "model")), list(about["features"]), about["kind"])
 
 
 def write_report(report, path, by=()):

@@ -11,8 +11,9 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = session("tests", "local[4]", **{
+        "spark.checkpoint.dir": "file://" + str(tmp_path_factory.mktemp("shared")),
         "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     spark.sparkContext.setLogLevel("ERROR")

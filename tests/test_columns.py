@@ -1,7 +1,7 @@
 import pytest
 
 from conftest import rows
-from flowgauge.errors import MissingFeatures, MissingLabel, NoFeatures
+from flowgauge.errors import NameCollision, MissingFeatures, MissingLabel, NoFeatures
 from flowgauge.operators import columns
 from flowgauge.sources.names import (COLUMN_MAP, CONTINUOUS_FEATURES, DISCRETE_FEATURES, FEATURES, TIME_FEATURES,
                                      feature_table)
@@ -75,3 +75,11 @@ def test_vocabulary_sizes(spark):
     assert len(DISCRETE_FEATURES) == 28 and len(CONTINUOUS_FEATURES) == 30
     assert set(FEATURES) <= set(COLUMN_MAP.values())
     assert feature_table(spark).filter("kind = 'discrete'").count() == 28
+
+
+def test_two_spellings_of_one_name_are_reported(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`fwd pkts` int, `total fwd` int, other int")
+    names = {"fwd pkts": "tot_fwd", "total fwd": "tot_fwd"}
+    assert columns.rename_collisions(df, names) == {"tot_fwd": ["fwd pkts", "total fwd"]}
+    with pytest.raises(NameCollision, match="tot_fwd"):
+        columns.rename_by_map(df, names)

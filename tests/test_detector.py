@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from conftest import rows
 from flowgauge.errors import MissingLabel, NotFitted
 from flowgauge.operators import detector, drift, evaluation, profiles
 from flowgauge.plans.baseline import (apply_baseline, fit_baseline, fit_on_split, prepare_new, prepare_old)
@@ -53,9 +54,14 @@ def test_perceptron_refuses_weights(fitted):
 def test_history_goes_on_from_the_last_round(fitted):
     _, train, test, _ = fitted
     model, history = detector.fit_with_history(train, test, FEATURES, 3, hidden=(8,), rounds=3, iterations=10)
-    losses = [r.train_loss for r in history.orderBy("round").collect()]
-    assert len(losses) == 3 and losses[0] > losses[-1]
-    assert history.orderBy("round").collect()[-1].val_accuracy > 90
+    found = history.orderBy("round", "iteration").collect()
+    losses = [r.train_loss for r in found]
+    assert {r["round"] for r in found} == {1, 2, 3} and losses[0] > losses[-1]
+    assert [r.iteration for r in found if r["round"] == 1] == list(range(1, sum(r["round"] == 1 for r in found) + 1))
+    assert sum(r.val_accuracy is not None for r in found) == 3 and found[-1].val_accuracy > 90
+    reports = []
+    detector.fit_with_history(train, test, FEATURES, 3, hidden=(8,), rounds=2, iterations=5, reports=reports)
+    assert [r.agg({"n": "sum"}).first()[0] for r in reports] == [test.count()] * 2
     assert detector.validate(model, test)[1] > 90
 
 
@@ -74,6 +80,12 @@ def test_store_round_trip(spark, fitted, tmp_path):
 
     shapes = profiles.fit_profiles(old, [], FEATURES, keys=["id"])
     store.save_profiles(shapes, path)
+    assert store.load_drift(spark, path) == fit
+    loaded = store.load_profiles(spark, path)
+    for more in ("BENIGN", "DOS"):      # saved back to where it was loaded from, twice
+        again = profiles.fit_profiles(old.filter(f"label = '{more}'"), [], FEATURES, existing=store.load_profiles(spark, path))
+        store.save_profiles(again, path)
+        assert rows(store.load_profiles(spark, path).labels()) == [("BENIGN",), ("DOS",), ("XSS",)]
     loaded = store.load_profiles(spark, path)
     quota = spark.createDataFrame([("DOS", 20)], "label string, quota bigint")
     assert profiles.draw(loaded, quota).exceptAll(profiles.draw(shapes, quota)).isEmpty()
@@ -91,10 +103,18 @@ def test_response(spark, fitted, tmp_path, quota):
     fit = drift.fit_drift(scaled, FEATURES, k=3, alpha=2.0, max_iter=10)
     shapes = profiles.fit_profiles(old.filter("label <> 'XSS'"), [], FEATURES, keys=["id"])
     unchanged = prepare_new(clusters(spark, seed=9))
-    assert respond(unchanged, test, baseline, fit, shapes, keys=["id"]) is None
+    assert not respond(unchanged, test, baseline, fit, shapes, keys=["id"])
+    old_detector = detector.fit_detector(train, FEATURES, 3, hidden=(8,), max_iter=30)
+    calm = respond(unchanged, test, baseline, fit, shapes, keys=["id"], before=old_detector)
+    assert not calm and calm.detector is old_detector and rows(calm.report, "phase", "dataset") != []
     moved = prepare_new(clusters(spark, shift=2.0, seed=9, names=("benign", "dos", "unheard of")))
-    response = respond(moved, test, baseline, fit, shapes, quota=quota, keys=["id"], hidden=(8,), max_iter=60)
-    accuracy = {r.dataset: r.precision for r in response.report.filter("label = 'accuracy'").collect()}
+    response = respond(moved, test, baseline, fit, shapes, quota=quota, keys=["id"], hidden=(8,), max_iter=60,
+                       before=old_detector, rounds=3)
+    assert response and response.history.agg({"round": "max"}).first()[0] == 3
+    accuracy = {(r.phase, r.dataset): r.precision for r in response.report.filter("label = 'accuracy'").collect()}
+    assert accuracy["before", "new"] <= accuracy["after", "new"]
+    response.report = response.report.filter("phase = 'after'").drop("phase")
+    accuracy = {d: a for (phase, d), a in accuracy.items() if phase == "after"}
     assert set(accuracy) == {"new", "old", "hybrid"} and accuracy["new"] > 0.9
     missing = [r.label for r in response.missing.collect()]
     assert missing == ([] if quota == "match" else ["XSS"])

@@ -28,7 +28,7 @@ def test_dictionary_is_sorted_and_dense(spark):
 
 
 def test_dictionary_over_the_driver_bound(spark, monkeypatch):
-    monkeypatch.setattr(small.bounded_arrow, "__defaults__", (20, small.MAX_BYTES))
+    monkeypatch.setattr(small.bounded_arrow, "__defaults__", (None, 20 * small.TEXT_WIDTH))
     values = [f"{(i * 7919) % 1000:04d}" for i in range(1000)]
     known = labels.fit_labels(frame(spark, values))
     assert [tuple(r) for r in known.orderBy("label").collect()] == [(f"{i:04d}", i) for i in range(1000)]
@@ -56,9 +56,11 @@ def test_census_is_descending(spark):
     assert labels.rows_of_label(frame(spark, ["a", "b"]), "a").count() == 1
 
 
-def test_settle_leaves_a_large_table_distributed(spark):
-    df = spark.range(50)
-    assert small.settle(df, max_rows=10) is df
-    assert small.settle(df, max_rows=50).agg(F.sum("id")).first()[0] == 1225
-    kept = small.settle(df.withColumn("x", F.col("id") * 2), max_rows=10, keep=True)
-    assert kept.agg(F.sum("x")).first()[0] == 2450
+def test_settle_gives_the_same_rows_beyond_the_bound(spark):
+    df = spark.range(50).withColumn("x", F.col("id") * 2)
+    assert small.declared_width(df.schema) == 32
+    for bound in (10 * 32, 50 * 32, 1):
+        kept = small.settle(df, max_bytes=bound)
+        assert kept.schema.simpleString() == df.schema.simpleString()
+        assert kept.agg(F.sum("x")).first()[0] == 2450
+    assert small.bounded_arrow(df, max_bytes=49 * 32) is None

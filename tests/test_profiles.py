@@ -124,3 +124,34 @@ def test_mix_is_aligned_scaled_and_encoded(spark, data, fitted):
     assert mixed.columns == [*FEATURES, "label", "origin", "idx"]
     assert rows(mixed.groupBy("label", "origin", "idx").count()) == [
         ("DOS", "synthetic_old", 1, 30), ("XSS", "real_new", 3, 9)]
+
+
+def test_features_without_values_and_nan_cells(spark):
+    data = [("A", float(i), None, 1.0 if i % 2 else float("nan")) for i in range(50)] + [("B", float(i % 7), float(i), 2.0) for i in range(60)]
+    df = spark.createDataFrame(data, "label string, x double, y double, z double")
+    shapes = profiles.fit_profiles(df, ["z", "y"], ["x"], max_distinct=10)
+    kinds = {(r.label, r.feature): r.kind for r in shapes.marginals.collect()}
+    assert kinds["A", "y"] == "empty" and kinds["A", "z"] == "discrete" and kinds["B", "y"] == "continuous"
+    assert {r.label: (r.n, r.status) for r in shapes.correlations.collect()} == {"A": (50, "partial"), "B": (60, "ok")}
+    drawn = profiles.draw(shapes, quota_table(spark, {"A": 300, "B": 200})).toPandas()
+    a, b = drawn[drawn.label == "A"], drawn[drawn.label == "B"]
+    assert a.y.isna().all() and set(a.z) == {1.0} and not b.isna().any().any()
+
+
+def test_a_class_without_any_value_does_not_stop_the_others(spark):
+    df = spark.createDataFrame([("none", None)] * 5 + [("some", float(i)) for i in range(30)] + [(None, 1.0)], "label string, x double")
+    shapes = profiles.fit_profiles(df, [], ["x"])
+    assert {r.label: r.status for r in shapes.correlations.collect()} == {"none": "empty", "some": "ok", None: "ok"}
+    quotas = quota_table(spark, {"none": 5, "some": 7})
+    assert rows(profiles.draw(shapes, quotas).groupBy("label").count()) == [("some", 7)]
+    assert rows(profiles.shortfall(shapes, quotas)) == [("none", 5)]
+
+
+def test_tails_of_a_heavy_feature(spark):
+    random = np.random.default_rng(3)
+    values = np.exp(random.normal(0, 2.5, 20_000))
+    df = spark.createDataFrame([("A", float(v)) for v in values], "label string, x double").repartition(4)
+    drawn = profiles.draw(profiles.fit_profiles(df, [], ["x"]), quota_table(spark, {"A": 40_000})).toPandas().x
+    for q in (0.5, 0.99, 0.998):
+        assert np.quantile(drawn, q) == pytest.approx(np.quantile(values, q), rel=0.25)
+    assert drawn.mean() == pytest.approx(values.mean(), rel=0.35)

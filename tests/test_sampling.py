@@ -43,6 +43,21 @@ def test_cap_is_exact_with_copies(spark, data, cap):
     assert got == brute_force(data, lambda n: min(n, cap))
 
 
+def test_cut_is_narrowed_to_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "WITHIN", 5)
+    steps, real = [], sampling._narrowed
+    monkeypatch.setattr(sampling, "_narrowed", lambda *a: steps.append(real(*a)) or steps[-1])
+    unique = [(i, "u") for i in range(3000)]
+    constant = [(7, "c")] * 500
+    mostly = [(1, "m")] * 400 + [(i, "m") for i in range(2, 300)]
+    data = unique + constant + mostly
+    kept = sampling.choose(frame(spark, data), "label", lambda n: F.least(n, F.lit(350)), ["k", "label"], digits=1)
+    kept = kept.filter("chosen").drop("chosen")
+    assert Counter(tuple(r) for r in kept.collect()) == brute_force(data, lambda n: min(n, 350))
+    last = {r["_of"]: r for r in steps[-1].collect()}
+    assert len(steps) > 1 and all(r["_rows"] <= 5 or r["_one"] for r in last.values())
+
+
 def test_one_row_with_most_of_the_copies(spark, monkeypatch):
     monkeypatch.setattr(sampling, "COPIES_PER_TASK", 100)
     data = frame(spark, [(i, "a") for i in range(20)])

@@ -46,6 +46,23 @@ def test_files_with_another_header_are_refused(spark, tmp_path):
         flow_csv.read_flow_csv(spark, write(tmp_path / "c.csv", ""))
 
 
+@pytest.mark.parametrize("encoding", ["auto", flow_csv.LATIN1])
+def test_swapped_columns_are_refused_in_any_encoding(spark, tmp_path, encoding):
+    first = write(tmp_path / "a.csv", "x,y,Label\n1,2,p\n", "latin1")
+    second = write(tmp_path / "b.csv", "y,x,Label\n2,1,caf\xe9\n", "latin1")
+    with pytest.raises(HeaderMismatch, match="b.csv"):
+        flow_csv.read_flow_csv(spark, [first, second], encoding=encoding)
+
+
+def test_many_small_files(spark, tmp_path):
+    for i in range(1000):
+        write(tmp_path / f"s{i}.csv", f"x,Label\n{i},caf\xe9\n", "latin1" if i % 2 else "utf-8")
+    df = flow_csv.read_flow_csv(spark, str(tmp_path / "*.csv"), source_column="source")
+    found = df.groupBy("Label").count().collect()
+    assert [tuple(r) for r in found] == [("caf\xe9", 1000)]
+    assert df.agg({"x": "sum"}).first()[0] == 499500 and df.select("source").distinct().count() == 1000
+
+
 def test_inferred_numbers(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'Proto,Size,Label\ntcp,1,x\nudp,inf,"a,""b"""\n')
     df = flow_csv.read_flow_csv(spark, path, numbers="inferred")
