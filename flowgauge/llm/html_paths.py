@@ -9,12 +9,13 @@ host has no winner in them fall back on their own best container.
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import add_columns, pick, stored
+from flowgauge.llm.shared import add_columns, pick
+from flowgauge.session import stored
 
 # Fixed values of HTML: elements without content, with raw content, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,19 +90,27 @@ def _boiler(tag, attributes):
 
 def _step(tag, attributes):
     """A tag and its sorted classes, digits made alike."""
-    classes = sorted(set(DIGITS.sub("#", c) for c in attributes.get("class", "").lower().split()))
-    return ".".join([tag, *classes])
+    classes = sorted(set(DIGITS.sub("#", c).replace("/", "|") for c in attributes.get("class", "").lower().split()))
+    return ".".join([tag.replace("/", "|"), *classes])
+
+
+def _path_key(path):
+    """The key of a path, as containers have it in this process."""
+    key = 0
+    for step in path.split("/")[1:]:
+        key = hash((key, step))
+    return key
 
 
 class Page:
     """Blocks of text, each with the open containers, and what containers hold.
 
-    ``containers`` has (path, its parent's place); ``blocks`` has (container, text,
-    characters inside links, whether a paragraph or heading)."""
+    ``containers`` has (key of the path, parent's place, step); ``blocks`` has
+    (container, text, characters inside links, kind of block)."""
 
     def __init__(self, source):
-        self.containers, self.blocks = [("", -1)], []
-        self._stack = []              # (tag, container, boiler, link)
+        self.containers, self.blocks = [(0, -1, "")], []
+        self._stack, self._held = [], Counter()     # (tag, container, boiler, link); tags on it
         self._text, self._linked, self._kind = [], 0, ""
         for text, closing, tag, raw in _tags(source):
             if text and not (self._stack and self._stack[-1][2]):
@@ -121,11 +130,17 @@ class Page:
                 self.blocks.append((inside, text, self._linked, self._kind))
         self._text, self._linked, self._kind = [], 0, ""
 
+    def _drop(self, i):
+        self._held.subtract(s[0] for s in self._stack[i:])
+        del self._stack[i:]
+
     def _pop_to(self, tags, stops):
+        if not any(self._held[tag] for tag in tags):
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] in tags:
                 self._end_block()
-                del self._stack[i:]
+                self._drop(i)
                 return
             if self._stack[i][0] in stops:
                 return
@@ -134,7 +149,7 @@ class Page:
         if tag == "br":
             self._text.append(" ")
             return
-        if tag in CLOSES_P and any(s[0] == "p" for s in self._stack):
+        if tag in CLOSES_P:
             self._pop_to({"p"}, CONTAINERS | {"table", "ul", "ol", "button"})
         if tag in IMPLIED:
             self._pop_to(*IMPLIED[tag])
@@ -146,20 +161,22 @@ class Page:
         parent = self._stack[-1] if self._stack else ("", 0, False, False)
         inside = parent[1]
         if tag in CONTAINERS and not parent[2]:
-            self.containers.append((f"{self.containers[inside][0]}/{_step(tag, attributes)}", inside))
+            step = _step(tag, attributes)
+            self.containers.append((hash((self.containers[inside][0], step)), inside, step))
             inside = len(self.containers) - 1
+        self._held[tag] += 1
         self._stack.append((tag, inside, parent[2] or tag in RAW or _boiler(tag, attributes), parent[3] or tag == "a"))
         if tag in BLOCKS:
             self._kind = tag
 
     def _close(self, tag):
-        if tag == "p" and not any(s[0] == "p" for s in self._stack):
+        if not self._held[tag]:
             return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == tag:
                 if any(s[0] in BLOCKS for s in self._stack[i:]):
                     self._end_block()
-                del self._stack[i:]
+                self._drop(i)
                 return
             if self._stack[i][0] in ("article", "main", "body") and tag not in ("html", "body", "main", "article", "div", "section"):
                 return
@@ -174,9 +191,8 @@ class Page:
             own[inside] += max(0, len(text) - 2 * linked) * weight
         for i in range(len(own) - 1, 0, -1):
             own[self.containers[i][1]] += own[i] / 2
-        for i, (path, _) in enumerate(self.containers):
-            last = path.rsplit("/", 1)[-1].split(".")[0]
-            own[i] *= {"article": 2.0, "main": 1.5, "body": 0.8}.get(last, 1.0)
+        for i, (_, _, step) in enumerate(self.containers):
+            own[i] *= {"article": 2.0, "main": 1.5, "body": 0.8}.get(step.split(".")[0], 1.0)
         return own
 
     def best(self):
@@ -185,16 +201,25 @@ class Page:
         best = max(range(len(scores)), key=lambda i: (scores[i], -i))
         return best, scores[best]
 
+    def path(self, i):
+        """The steps to a container, each with a slash before it."""
+        steps = []
+        while i > 0:
+            steps.append(self.containers[i][2])
+            i = self.containers[i][1]
+        return "".join(f"/{step}" for step in reversed(steps))
+
     def text(self, chosen):
         """The blocks below any of the chosen containers, in page order."""
         below = [False] * len(self.containers)
-        for i, (_, parent) in enumerate(self.containers):
+        for i, (_, parent, _) in enumerate(self.containers):
             below[i] = i in chosen or parent >= 0 and below[parent]
         return "\n".join(text for inside, text, _, _ in self.blocks if below[inside])
 
     def along(self, path):
         """The text along a path, or of the page's own best container."""
-        chosen = {i for i, (p, _) in enumerate(self.containers) if p == path} if path else set()
+        key = _path_key(path) if path else None
+        chosen = {i for i, (k, _, _) in enumerate(self.containers) if k == key} if path else set()
         text = self.text(chosen) if chosen else ""
         return text or (self.text({self.best()[0]}) if self.blocks else "")
 
@@ -209,7 +234,7 @@ def _votes(pages):
                     page = Page(source)
                     best, score = page.best()
                     if score > 0:
-                        row = tally[host, page.containers[best][0]]
+                        row = tally[host, page.path(best)]
                         row[0] += 1
                         row[1] += min(score, 10_000.0) ** 0.5     # a long page is not worth many short ones
             yield pa.RecordBatch.from_arrays(
