@@ -8,7 +8,9 @@ before the cut.
 
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import pick, positions, running_totals, stored
+from flowgauge.functions.running import running_totals
+from flowgauge.llm.shared import pick, positions
+from flowgauge.session import stored
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3              # a target stops at this many times its source

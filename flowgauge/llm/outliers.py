@@ -21,7 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import add_columns, pick, positions, stored
+from flowgauge.llm.shared import add_columns, pick, positions
+from flowgauge.session import stored
 
 SHARE = 0.75            # part of a group the determinant is minimised over
 STEPS = 4               # concentration steps

@@ -1,13 +1,13 @@
-"""What the corpus operators share: picking columns, the shared folder, and
-running totals over a sorted table that no single task has to see whole."""
+"""What the corpus operators share: picking columns, adding columns batch by batch,
+and a name in the shared folder."""
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
-from pyspark.sql.window import Window as W
+
+from flowgauge.session import shared_folder
 
 
 def positions(df, *needed):
@@ -28,51 +28,10 @@ def pick(df, *needed):
     return plain.select(*[F.col(at[n]).alias(n) for n in needed])
 
 
-def shared_folder(spark):
-    """The folder all executors share; one is made up only where none is set and
-    everything runs in one process."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not context.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="flowgauge-")
-    context.setCheckpointDir(made)
-    return made
-
-
 def new_folder(spark, what):
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df, what="table"):
-    """Written once as Parquet in the shared folder and read back: cuts lineage,
-    survives lost executors and gives the optimizer the table's real size."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def running_totals(rows, keys, order, value, into, what="ranged"):
-    """Adds ``into``: the sum of ``value`` over the rows before this one in ``order``,
-    among rows with equal ``keys`` (which must not be null). ``order`` has to tell rows
-    apart, or rows that tie must be interchangeable.
-
-    Rows are range-sorted on keys and order, so a hot key is cut into many ranges;
-    each range adds up on its own and starts from the sum of the ranges before it.
-    """
-    ranged = stored(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), what)
-    total = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
-    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = total.select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    inside = W.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .join(starts, [*keys, "_part"])
-            .withColumn(into, F.col("_start") + F.col("_inside"))
-            .drop("_part", "_start", "_inside"))
-
-
 def add_columns(df, make, schema):
     """Appends what ``make(batch)`` returns (a list of Arrow arrays) to every batch."""
     added = StructType.fromDDL(schema).fields

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from flowgauge.llm.graph import components
-from flowgauge.llm.shared import add_columns, pick, positions, stored
+from flowgauge.llm.shared import add_columns, pick, positions
+from flowgauge.session import stored
 
 SHINGLE = 3
 MAX_BITS = 3

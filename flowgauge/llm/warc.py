@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import new_folder, pick, stored
+from flowgauge.llm.shared import new_folder, pick
+from flowgauge.session import stored
 
 CRLF = b"\r\n"
 DATE = "1970-01-01T00:00:00Z"       # the tables carry no time of capture

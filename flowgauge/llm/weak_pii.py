@@ -22,7 +22,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import add_columns, pick, positions, stored
+from flowgauge.llm.shared import add_columns, pick, positions
+from flowgauge.session import stored
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "name", "secret", "ssn")
