@@ -139,59 +139,56 @@ COLUMN_MAP = {
 }
 
 # --- Fixed values: the 58 features by family, in fitted order ---
-TIME_FEATURES = (
-    "flow_duration flow_iat_mean flow_iat_std flow_iat_max flow_iat_min "
-    "fwd_iat_tot fwd_iat_mean fwd_iat_std fwd_iat_max fwd_iat_min "
-    "bwd_iat_tot bwd_iat_mean bwd_iat_std bwd_iat_max bwd_iat_min"
-).split()
-PACKET_FEATURES = (
-    "tot_fwd_pkts tot_bwd_pkts flow_byts_s flow_pkts_s fwd_pkts_s bwd_pkts_s "
-    "subflow_fwd_pkts subflow_fwd_byts subflow_bwd_pkts subflow_bwd_byts "
-    "init_fwd_win_byts init_bwd_win_byts fwd_act_data_pkts"
-).split()
-LENGTH_FEATURES = (
-    "totlen_fwd_pkts totlen_bwd_pkts fwd_pkt_len_max fwd_pkt_len_min "
-    "fwd_pkt_len_mean fwd_pkt_len_std bwd_pkt_len_max bwd_pkt_len_min "
-    "bwd_pkt_len_mean bwd_pkt_len_std fwd_header_len bwd_header_len "
-    "pkt_len_min pkt_len_max pkt_len_mean pkt_len_std pkt_len_var "
-    "pkt_size_avg fwd_seg_size_avg bwd_seg_size_avg fwd_seg_size_min"
-).split()
-PROTOCOL_FEATURES = (
-    "fin_flag_cnt syn_flag_cnt rst_flag_cnt psh_flag_cnt ack_flag_cnt "
-    "urg_flag_cnt ece_flag_cnt down_up_ratio fwd_psh_flags"
-).split()
+TIME_FEATURES = [
+    "flow_duration", "flow_iat_mean", "flow_iat_std", "flow_iat_max", "flow_iat_min", "fwd_iat_tot",
+    "fwd_iat_mean", "fwd_iat_std", "fwd_iat_max", "fwd_iat_min", "bwd_iat_tot", "bwd_iat_mean", "bwd_iat_std",
+    "bwd_iat_max", "bwd_iat_min",
+]
+PACKET_FEATURES = [
+    "tot_fwd_pkts", "tot_bwd_pkts", "flow_byts_s", "flow_pkts_s", "fwd_pkts_s", "bwd_pkts_s",
+    "subflow_fwd_pkts", "subflow_fwd_byts", "subflow_bwd_pkts", "subflow_bwd_byts", "init_fwd_win_byts",
+    "init_bwd_win_byts", "fwd_act_data_pkts",
+]
+LENGTH_FEATURES = [
+    "totlen_fwd_pkts", "totlen_bwd_pkts", "fwd_pkt_len_max", "fwd_pkt_len_min", "fwd_pkt_len_mean",
+    "fwd_pkt_len_std", "bwd_pkt_len_max", "bwd_pkt_len_min", "bwd_pkt_len_mean", "bwd_pkt_len_std",
+    "fwd_header_len", "bwd_header_len", "pkt_len_min", "pkt_len_max", "pkt_len_mean", "pkt_len_std",
+    "pkt_len_var", "pkt_size_avg", "fwd_seg_size_avg", "bwd_seg_size_avg", "fwd_seg_size_min",
+]
+PROTOCOL_FEATURES = [
+    "fin_flag_cnt", "syn_flag_cnt", "rst_flag_cnt", "psh_flag_cnt", "ack_flag_cnt", "urg_flag_cnt",
+    "ece_flag_cnt", "down_up_ratio", "fwd_psh_flags",
+]
 FEATURES = TIME_FEATURES + PACKET_FEATURES + LENGTH_FEATURES + PROTOCOL_FEATURES
 
 # --- Fixed values: features that are counts or flags; all others are continuous ---
-DISCRETE_FEATURES = (
-    "tot_fwd_pkts tot_bwd_pkts subflow_fwd_pkts subflow_fwd_byts subflow_bwd_pkts "
-    "subflow_bwd_byts init_fwd_win_byts init_bwd_win_byts fwd_act_data_pkts "
-    "totlen_fwd_pkts totlen_bwd_pkts fwd_pkt_len_max fwd_pkt_len_min "
-    "bwd_pkt_len_max bwd_pkt_len_min fwd_header_len bwd_header_len pkt_len_min "
-    "pkt_len_max fwd_seg_size_min fin_flag_cnt syn_flag_cnt rst_flag_cnt "
-    "psh_flag_cnt ack_flag_cnt urg_flag_cnt ece_flag_cnt fwd_psh_flags"
-).split()
+DISCRETE_FEATURES = [
+    "tot_fwd_pkts", "tot_bwd_pkts", "subflow_fwd_pkts", "subflow_fwd_byts", "subflow_bwd_pkts",
+    "subflow_bwd_byts", "init_fwd_win_byts", "init_bwd_win_byts", "fwd_act_data_pkts", "totlen_fwd_pkts",
+    "totlen_bwd_pkts", "fwd_pkt_len_max", "fwd_pkt_len_min", "bwd_pkt_len_max", "bwd_pkt_len_min",
+    "fwd_header_len", "bwd_header_len", "pkt_len_min", "pkt_len_max", "fwd_seg_size_min", "fin_flag_cnt",
+    "syn_flag_cnt", "rst_flag_cnt", "psh_flag_cnt", "ack_flag_cnt", "urg_flag_cnt", "ece_flag_cnt",
+    "fwd_psh_flags",
+]
 CONTINUOUS_FEATURES = [name for name in FEATURES if name not in DISCRETE_FEATURES]
 
 # --- Fixed values: the underscore-named variant of the discrete features ---
-UNDERSCORED_DISCRETE_FEATURES = (
-    "fwd_header_length bwd_header_length fin_flag_count syn_flag_count "
-    "psh_flag_count ack_flag_count urg_flag_count ece_flag_count "
-    "subflow_fwd_bytes subflow_bwd_bytes fwd_init_win_bytes bwd_init_win_bytes "
-    "fwd_act_data_pkts fwd_seg_size_min"
-).split()
+UNDERSCORED_DISCRETE_FEATURES = [
+    "fwd_header_length", "bwd_header_length", "fin_flag_count", "syn_flag_count", "psh_flag_count",
+    "ack_flag_count", "urg_flag_count", "ece_flag_count", "subflow_fwd_bytes", "subflow_bwd_bytes",
+    "fwd_init_win_bytes", "bwd_init_win_bytes", "fwd_act_data_pkts", "fwd_seg_size_min",
+]
 
 # --- Fixed values: the underscore-named variant of the continuous features ---
-UNDERSCORED_CONTINUOUS_FEATURES = (
-    "fwd_packet_length_max fwd_packet_length_min fwd_packet_length_std "
-    "bwd_packet_length_min bwd_packet_length_std flow_bytes/s flow_packets/s "
-    "flow_iat_mean flow_iat_std flow_iat_min fwd_iat_total fwd_iat_mean "
-    "fwd_iat_std fwd_iat_min bwd_iat_total bwd_iat_mean bwd_iat_std bwd_iat_max "
-    "bwd_iat_min fwd_packets/s bwd_packets/s packet_length_min packet_length_std "
-    "packet_length_variance down/up_ratio average_packet_size "
-    "fwd_segment_size_avg bwd_segment_size_avg active_mean active_std active_max "
-    "active_min idle_std idle_max idle_min"
-).split()
+UNDERSCORED_CONTINUOUS_FEATURES = [
+    "fwd_packet_length_max", "fwd_packet_length_min", "fwd_packet_length_std", "bwd_packet_length_min",
+    "bwd_packet_length_std", "flow_bytes/s", "flow_packets/s", "flow_iat_mean", "flow_iat_std", "flow_iat_min",
+    "fwd_iat_total", "fwd_iat_mean", "fwd_iat_std", "fwd_iat_min", "bwd_iat_total", "bwd_iat_mean",
+    "bwd_iat_std", "bwd_iat_max", "bwd_iat_min", "fwd_packets/s", "bwd_packets/s", "packet_length_min",
+    "packet_length_std", "packet_length_variance", "down/up_ratio", "average_packet_size",
+    "fwd_segment_size_avg", "bwd_segment_size_avg", "active_mean", "active_std", "active_max", "active_min",
+    "idle_std", "idle_max", "idle_min",
+]
 
 # --- Fixed values: label spellings ---
 LABEL = "label"
@@ -215,6 +212,14 @@ ATTACK_BY_SOURCE = {
 TEXT_COLUMNS = {"flow id", "source ip", "src ip", "destination ip", "dst ip", "timestamp", "label"}
 
 
+def feature_kinds(columns):
+    """(discrete, continuous): the known features of a table in its order, whether its
+    names went through the synonym map or only got underscores."""
+    discrete = {*DISCRETE_FEATURES, *UNDERSCORED_DISCRETE_FEATURES}
+    continuous = {*CONTINUOUS_FEATURES, *UNDERSCORED_CONTINUOUS_FEATURES} - discrete
+    return [c for c in columns if c in discrete], [c for c in columns if c in continuous]
+
+
 def feature_table(spark):
     """Name, kind and family of every feature as a table."""
     from flowgauge.functions.small import local_table

@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from flowgauge.errors import NameCollision, MissingFeatures, MissingLabel, NoFeatures
 from flowgauge.operators import columns
-from flowgauge.sources.names import (COLUMN_MAP, CONTINUOUS_FEATURES, DISCRETE_FEATURES, FEATURES, TIME_FEATURES,
+from flowgauge.sources.names import (COLUMN_MAP, feature_kinds, CONTINUOUS_FEATURES, DISCRETE_FEATURES, FEATURES, TIME_FEATURES,
                                      feature_table)
 
 HEADERS_2017 = [" Flow Duration", "Total Length of Fwd Packets", " Fwd Header Length", " Fwd Header Length.1",
@@ -83,3 +83,8 @@ def test_two_spellings_of_one_name_are_reported(spark):
     assert columns.rename_collisions(df, names) == {"tot_fwd": ["fwd pkts", "total fwd"]}
     with pytest.raises(NameCollision, match="tot_fwd"):
         columns.rename_by_map(df, names)
+
+
+def test_feature_kinds_in_both_spellings():
+    assert feature_kinds([*FEATURES, "label"]) == ([c for c in FEATURES if c in DISCRETE_FEATURES], CONTINUOUS_FEATURES)
+    assert feature_kinds(["idle_max", "flow_bytes/s", "syn_flag_count", "other"]) == (["syn_flag_count"], ["idle_max", "flow_bytes/s"])
