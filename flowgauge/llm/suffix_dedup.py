@@ -27,12 +27,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import pick, stored
+from flowgauge.llm.shared import pick
+from flowgauge.session import stored
 
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1        # grams in a window
-PART = 3 << 20                  # bytes that one suffix sort takes
+PART = 1 << 20                  # bytes that one suffix sort takes
+CHUNK = 1 << 18                 # bytes that are hashed together
 HOT = 4096                      # cells of one anchor beyond which its windows are counted
 _RNG = np.random.default_rng(20)
 CODE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,44 +79,89 @@ def _least_places(order):
     return at
 
 
+def _placed(order, long, marks, first, last):
+    """Anchor and cell hashes of cells given by anchor and first and last window."""
+    end = last + LENGTH
+    middle = (first + end) // 2 - 64
+    shape = (last - first + 1).astype(np.uint64) * BASE + (marks - first).astype(np.uint64)
+    whole = _mixed(_mixed(_mixed(shape + long[first]) + long[middle]) + long[end - 128])
+    return order[marks].view(np.int64), whole.view(np.int64), first, last
+
+
 def cells(data):
     """Anchors of a text and their cells: (anchor hash, cell hash, first and last window
     start). A window's anchor is its leftmost smallest gram, so its bytes alone decide
     it; a cell is a run of windows with one anchor."""
     short, long = gram_hashes(data)
     order = _mixed(short)
-    windows = len(data) - LENGTH + 1
+    marks = _least_places(order)
+    starts = np.flatnonzero(marks[1:] != marks[:-1]) + 1
+    first = np.concatenate([[0], starts])
+    last = np.concatenate([starts - 1, [len(data) - LENGTH]])
+    return _placed(order, long, marks[first], first, last)
+
+
+def cells_of_many(texts):
+    """(text's number, anchor hash, cell hash, first, last) over texts of at least
+    ``LENGTH`` bytes, worked out on all of them in one array: a run of windows with the
+    same least value has the one gram of that value as its anchor. A text in which a
+    window holds its least value twice is worked out alone."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    short, long = gram_hashes(data)
+    order = _mixed(short)
     least = _slide(order, SPAN, np.minimum)
+    windows = np.zeros(len(least) + 1, bool)            # starts of windows inside one text
+    for low, high in zip(starts.tolist(), (ends - LENGTH + 1).tolist()):
+        windows[low:high] = True
+    least = np.where(windows[:-1], least, 0)
     edge = np.zeros(SPAN - 1, np.uint64)
-    marks = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), SPAN, np.maximum) == order)
-    starts = np.flatnonzero(least[1:] != least[:-1]) + 1
-    if len(marks) != len(starts) + 1:        # a gram occurs twice in a window
-        marks = _least_places(order)
-        starts = np.flatnonzero(marks[1:] != marks[:-1]) + 1
-        marks = marks[np.concatenate([[0], starts])]
-    first = np.concatenate([[0], starts])
-    last = np.concatenate([starts - 1, [windows - 1]])
-    end = last + LENGTH
-    middle = (first + end) // 2 - 64
-    shape = (last - first + 1).astype(np.uint64) * BASE + (marks - first).astype(np.uint64)
-    whole = _mixed(_mixed(_mixed(shape + long[first]) + long[middle]) + long[end - 128])
-    return order[marks].view(np.int64), whole.view(np.int64), first, last
+    marks = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), SPAN, np.maximum) == order) & (order > 0))
+    change = np.concatenate([[True], least[1:] != least[:-1], [True]]) | np.isin(np.arange(len(least) + 1), starts)
+    bounds = np.flatnonzero(change)
+    first, last = bounds[:-1], bounds[1:] - 1
+    inside = windows[first]
+    first, last = first[inside], last[inside]
+    of_first, of_mark = (np.searchsorted(ends, x, "right") for x in (first, marks))
+    clear = np.bincount(of_first, minlength=len(texts)) == np.bincount(of_mark, minlength=len(texts))
+    first, last, marks = first[clear[of_first]], last[clear[of_first]], marks[clear[of_mark]]
+    number = of_first[clear[of_first]]
+    anchor, whole, first, last = _placed(order, long, marks, first, last)
+    parts = [(number, anchor, whole, first - starts[number], last - starts[number])]
+    for i in np.flatnonzero(~clear):
+        alone = cells(np.frombuffer(texts[i], np.uint8))
+        parts.append((np.full(len(alone[0]), i), *alone))
+    return [np.concatenate(column) for column in zip(*parts)]
+
+
+def _chunks(rows, size):
+    """Rows (..., bytes) in lists of at least ``size`` bytes in all."""
+    chunk, held = [], 0
+    for row in rows:
+        chunk.append(row)
+        held += len(row[-1])
+        if held >= size:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
 
 
 def _cell_rows(docs):
     """One row per cell of every text (h, place) of at least ``LENGTH`` bytes."""
     def run(batches):
         for batch in batches:
-            for h, g, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-                if len(data) >= LENGTH:
-                    anchor, whole, first, last = cells(data)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(whole), pa.array(np.full(len(anchor), h)), pa.array(np.full(len(anchor), g)),
-                         pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                        names=[f.split()[0] for f in CELL.split(", ")])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()))
+            for chunk in _chunks((row for row in rows if len(row[2]) >= LENGTH), CHUNK):
+                h, g, texts = zip(*chunk)
+                number, anchor, whole, first, last = cells_of_many(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(whole), pa.array(np.array(h)[number]), pa.array(np.array(g)[number]),
+                     pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=[f.split()[0] for f in CELL.split(", ")])
 
-    return docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_joined(run), CELL)
+    return docs.filter(F.octet_length("text") >= LENGTH).select("h", "place", "text").mapInArrow(run, CELL)
 
 
 def _joined(run, rows=50_000):
@@ -132,10 +179,24 @@ def _joined(run, rows=50_000):
     return whole
 
 
+def _sorted_with_places(keys):
+    """Sorted keys and where they were; ties in the order they had. Keys and places share
+    one number where they fit, since numbers sort several times faster than places."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) < 1 << (63 - bits):
+        both = np.sort((keys << bits) | np.arange(len(keys)))
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
 def dense(keys):
-    """Names: the rank of each key among the different ones."""
-    found, names = np.unique(keys, return_inverse=True)
-    return names, len(found)
+    """Names: the rank of each key among the different ones; and their number."""
+    ordered, places = _sorted_with_places(keys)
+    ranks = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(keys) else places
+    names = np.empty(len(keys), np.int64)
+    names[places] = ranks
+    return names, int(ranks[-1]) + 1 if len(keys) else 0
 
 
 def suffix_ranks(s, symbols, depth):
@@ -151,7 +212,9 @@ def suffix_ranks(s, symbols, depth):
     base = symbols + 1
     zeros, ones, twos = (np.arange(k, n, 3) for k in range(3))
     sample = np.concatenate([ones, twos])
-    pairs = dense(t[sample] * base + t[sample + 1])[0] if base ** 3 >= 1 << 62 else t[sample] * base + t[sample + 1]
+    pairs, paired = t[sample] * base + t[sample + 1], base * base
+    if paired * base * 2 * n >= 1 << 63:
+        pairs, paired = dense(pairs)
     names, different = dense(pairs * base + t[sample + 2])
     if different < len(sample) and depth > 3:
         # Names of the positions 1 modulo 3, an end, names of the positions 2 modulo 3.
@@ -163,20 +226,25 @@ def suffix_ranks(s, symbols, depth):
     # What a suffix of each kind is compared by with those at positions 0: one symbol and
     # the name behind it, or two symbols and a name.
     size = different + 2
-    by_one = lambda i: t[i] * size + rank[i + 1]
-    both = np.concatenate([zeros, twos])
-    tails = dense(t[both + 1] * size + rank[both + 2])[0]
-    by_two = np.zeros(n, np.int64)
-    by_two[both] = t[both] * (len(both) + 1) + tails
-    zeros = zeros[np.argsort(by_one(zeros), kind="stable")]
-    ones, twos = ones[np.argsort(rank[ones], kind="stable")], twos[np.argsort(rank[twos], kind="stable")]
+    first = t * size
+    by_one = first[:n] + rank[1:n + 1]
+    tails, tail_size = first[1:n + 1] + rank[2:n + 2], base * size
+    if tail_size * base >= 1 << 63:
+        both = np.concatenate([zeros, twos])
+        tails[both], tail_size = dense(tails[both])
+    by_two = t[:n] * tail_size + tails
+    keys_of_zeros, order = _sorted_with_places(by_one[zeros])
+    zeros = zeros[order]
+    _, order = _sorted_with_places(rank[sample])
+    merged = sample[order]
+    is_one = merged % 3 == 1
+    ones, twos = merged[is_one], merged[~is_one]
     place = np.empty(n, np.int64)
-    place[zeros] = (np.arange(len(zeros)) + np.searchsorted(by_one(ones), by_one(zeros))
-                    + np.searchsorted(by_two[twos], by_two[zeros]))
-    among = np.argsort(np.argsort(rank[sample], kind="stable"), kind="stable")
-    place[sample] = among
-    place[ones] += np.searchsorted(by_one(zeros), by_one(ones), "right")
+    place[merged] = np.arange(len(merged))
+    place[ones] += np.searchsorted(keys_of_zeros, by_one[ones], "right")
     place[twos] += np.searchsorted(by_two[zeros], by_two[twos], "right")
+    place[zeros] = (np.arange(len(zeros)) + np.searchsorted(by_one[ones], keys_of_zeros)
+                    + np.searchsorted(by_two[twos], by_two[zeros]))
     return place
 
 
@@ -188,7 +256,7 @@ def repeated_windows(strings, length=LENGTH):
     counts = sizes - length + 1
     windows = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
     ranks = suffix_ranks(text, 256, length)
-    order = np.argsort(ranks[windows], kind="stable")
+    _, order = _sorted_with_places(ranks[windows])
     sorted_windows = windows[order]
     same = np.zeros(len(order) + 1, bool)
     view = np.lib.stride_tricks.sliding_window_view(text, length)
@@ -212,13 +280,14 @@ def _cut(wanted_texts):
 
     def run(batches):
         for batch in batches:
-            for h, g, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode("utf-8", "replace")
-                rows = [(h, g, w["part"], w["anchor"], w["first"], data[w["first"]:w["last"] + LENGTH]) for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+            rows = ((h, g, w["part"], w["anchor"], w["first"], data[w["first"]:w["last"] + LENGTH])
+                    for h, g, text, wanted in zip(*(c.to_pylist() for c in batch.columns))
+                    for data in [text.encode("utf-8", "replace")] for w in wanted)
+            for chunk in _chunks(rows, 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)],
                                                  names=["h", "place", "part", "anchor", "first", "data"])
 
-    return wanted_texts.mapInArrow(_joined(run, 2000), "h long, place long, part int, anchor long, first int, data binary")
+    return wanted_texts.mapInArrow(run, "h long, place long, part int, anchor long, first int, data binary")
 
 
 def _sort_part(frame):
@@ -249,7 +318,7 @@ def _hot_windows(cut):
 def repeated_runs(docs, texts, hot=HOT, part=PART):
     """(h, place, a, b): runs of window starts that occur elsewhere. ``docs`` has every
     row's text with its hashes h and place, ``texts`` each different text once."""
-    rows = _cell_rows(docs)
+    rows = stored(_cell_rows(docs), "all-cells")
     often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     rows = stored(rows.join(often, "anchor"), "cells")
     one = [F.first(c).alias(c) for c in ("h", "place", "first", "last")]

@@ -442,6 +442,16 @@ def test_suffix_order(letters, depth):
         assert heads == sorted(heads) and sorted(order) == list(range(n))
 
 
+def test_cells_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 97 + k, n).astype(np.uint8).tobytes() for k, n in ((26, 200), (26, 900), (1, 400), (2, 700), (26, 201), (26, 5000), (3, 333))]
+    number, *found = suffix_dedup.cells_of_many(texts)
+    for i, text in enumerate(texts):
+        alone = suffix_dedup.cells(np.frombuffer(text, np.uint8))
+        order = np.argsort(found[2][number == i])
+        assert all((f[number == i][order] == a).all() for f, a in zip(found, alone))
+
+
 def test_anchors_depend_on_the_window_alone():
     rng = np.random.default_rng(3)
     pool = rng.integers(97, 101, 900).astype(np.uint8)
