@@ -30,7 +30,7 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 # What is never part of an article: by tag, by role and by words of class or id.
-BOILER_TAGS = frozenset("nav footer header aside form button menu dialog figcaption address".split())
+BOILER_TAGS = frozenset("nav footer header aside form button menu dialog".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 BOILER_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation
 menu breadcrumb breadcrumbs footer header masthead sidebar aside widget related recommended share sharing social cookie cookies consent
