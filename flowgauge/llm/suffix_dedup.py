@@ -33,7 +33,7 @@ from flowgauge.session import stored
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1        # grams in a window
-PART = 1 << 20                  # bytes that one suffix sort takes
+PART = 1 << 19                  # bytes that one suffix sort takes
 CHUNK = 1 << 18                 # bytes that are hashed together
 HOT = 4096                      # cells of one anchor beyond which its windows are counted
 _RNG = np.random.default_rng(20)
@@ -216,6 +216,7 @@ def suffix_ranks(s, symbols, depth):
     if paired * base * 2 * n >= 1 << 63:
         pairs, paired = dense(pairs)
     names, different = dense(pairs * base + t[sample + 2])
+    del pairs
     if different < len(sample) and depth > 3:
         # Names of the positions 1 modulo 3, an end, names of the positions 2 modulo 3.
         text = np.concatenate([names[:len(ones)] + 1, [0], names[len(ones):] + 1])
@@ -319,7 +320,8 @@ def repeated_runs(docs, texts, hot=HOT, part=PART):
     """(h, place, a, b): runs of window starts that occur elsewhere. ``docs`` has every
     row's text with its hashes h and place, ``texts`` each different text once."""
     rows = stored(_cell_rows(docs), "all-cells")
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Written, so that the join below deals out both of its sides and can split a hot anchor.
+    often = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "often")
     rows = stored(rows.join(often, "anchor"), "cells")
     one = [F.first(c).alias(c) for c in ("h", "place", "first", "last")]
     kinds = stored(rows.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), *one), "kinds")
