@@ -26,7 +26,7 @@ from flowgauge.session import stored
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 500_000        # words of a generation whose ids a worker remembers
+CACHED = 350_000        # words of a generation whose ids a worker remembers
 CHUNK = 1 << 20         # characters that are tokenized at a time
 MARK = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|\Z)")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
