@@ -181,7 +181,7 @@ def _estimates(vectors):
     models = stored(_models(robust.unionByName(classical)), "models")
     for _ in range(STEPS):
         at = vectors.join(models, "group_key").withColumn("d2", _distance())
-        cuts = at.groupBy("group_key", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut"))
+        cuts = stored(at.groupBy("group_key", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut")), "cuts")
         kept = at.join(cuts, ["group_key", "start"]).filter(F.col("d2") <= F.col("cut"))
         models = stored(_models(_moments(kept, CONSISTENCY, "group_key", "start", "n")), "models")
     best = F.min(F.struct("log_det", "start", "centre", "inverse", "n")).alias("best")
