@@ -12,7 +12,9 @@ Everything is built-in functions; no Python runs on the executors.
 
 from pyspark.sql import functions as F
 
-from flowgauge.llm.shared import pick, running_totals, stored
+from flowgauge.functions.running import running_totals
+from flowgauge.llm.shared import pick
+from flowgauge.session import stored
 
 WIDE = 4                        # 64-bit hashes of a paragraph, two lanes each
 LANES = 21                      # bits of a clause hash share a long with two others
@@ -32,17 +34,18 @@ def paragraph_lanes(paragraphs):
     return [_lane(paragraphs, half, seed) for seed in range(WIDE) for half in halves]
 
 
-def fingerprints(texts, key):
-    """key, wide (eight lanes), counts (21 longs of three lanes), units, per row of
-    ``texts`` (key, text). More than two million clauses leave counts null: such a text
+def fingerprints(texts, *keys):
+    """keys, units, wide (eight lanes), counts (21 longs of three lanes), per row of
+    ``texts`` (keys, text). More than two million clauses leave counts null: such a text
     is alike its equals only."""
     wide = [f"w{i}" for i in range(2 * WIDE)]
-    split = texts.select(key, *[lane.alias(w) for w, lane in zip(wide, paragraph_lanes(F.split("text", "\n")))],
-                         F.explode(F.split("text", CLAUSE)).alias("unit"))
-    hashed = split.select(key, *wide, F.xxhash64("unit").alias("h"))
-    bits = [F.try_sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(SPREAD))).alias(f"s{k}") for k in range(LANES)]
-    summed = hashed.groupBy(key, *wide).agg(F.count(F.lit(1)).alias("units"), *bits)
-    return summed.select(key, "units", F.array(*wide).alias("wide"),
+    # The lanes come first: beside the explode they would be worked out for every clause.
+    laned = texts.select(*keys, "text", *[lane.alias(w) for w, lane in zip(wide, paragraph_lanes(F.split("text", "\n")))])
+    split = laned.select(*keys, *wide, F.explode(F.split("text", CLAUSE)).alias("unit"))
+    hashed = split.select(*keys, *wide, F.xxhash64("unit").alias("hash"))
+    bits = [F.try_sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(SPREAD))).alias(f"s{k}") for k in range(LANES)]
+    summed = hashed.groupBy(*keys, *wide).agg(F.count(F.lit(1)).alias("units"), *bits)
+    return summed.select(*keys, "units", F.array(*wide).alias("wide"),
                          F.when(F.col("units") <= MASK, F.array(*[f"s{k}" for k in range(LANES)])).alias("counts"))
 
 
@@ -81,18 +84,19 @@ def likeness(a, b):
     return F.when(a["wide"] == b["wide"], F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.coalesce(1 - apart, F.lit(0.0))))
 
 
+KEY = ["has_id", "id", "h", "g"]
+
+
 def _neighbours(docs):
-    """Every different (doc_id, text) by its hashes, numbered by ascending doc_id, nulls
-    first; with its length, its copies, and what the document before it in descending
-    order (number + 1) asks of it."""
-    keyed = docs.select("doc_id", "h", "g", F.length("text").alias("n"))
-    keys = keyed.groupBy("doc_id", "h", "g", "n").agg(F.count(F.lit(1)).alias("copies"))
-    ranked = running_totals(keys.withColumn("_one", F.lit(1)), [], ["doc_id", "h", "g"], "_one", "rank", "keys").drop("_one")
-    ranked = stored(ranked, "ranked")
+    """For every different document, by id and text hashes: its copies, and the key of
+    the one before it in descending order of ids, with the characters that one asks of
+    it. Also whether any document has copies."""
+    keys = docs.select(*KEY, F.length("text").alias("n")).groupBy(*KEY, "n").agg(F.count(F.lit(1)).alias("copies"))
+    ranked = stored(running_totals(keys.withColumn("_one", F.lit(1)), [], KEY, "_one", "rank", "keys").drop("_one"), "ranked")
     total, most = ranked.agg(F.count(F.lit(1)), F.max("copies")).first()
-    asks = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(total, 1))).alias("rank"), F.col("rank").alias("asker"),
-                         F.floor(F.col("n") / 2).cast("int").alias("asked"))
-    return stored(ranked.join(asks, "rank"), "ranked"), (most or 0) > 1
+    askers = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(total, 1))).alias("rank"),
+                           *[F.col(k).alias(f"to_{k}") for k in KEY], F.floor(F.col("n") / 2).cast("int").alias("asked"))
+    return stored(ranked.select(*KEY, "copies", "rank").join(askers, "rank").drop("rank"), "asks"), (most or 0) > 1
 
 
 def fingerprinted(docs):
@@ -103,30 +107,35 @@ def fingerprinted(docs):
     the next document in descending order of doc_id (null ids last, the first after the
     last; equal ids by their text's hash). A null text is empty. Rows equal in id and
     text are one document here, whose result is given once per row. The only document
-    of a table is its own next one; an empty table gives none."""
+    of a table is its own next one; an empty table gives none.
+
+    Texts move once, to where their key is; the start that another text asks for moves
+    on to that one's key, and sums of a key stay where they are."""
     text = F.coalesce("text", F.lit(""))
-    plain = pick(docs, "doc_id", "text").withColumn("text", text).withColumns({"h": F.xxhash64("text"), "g": F.xxhash64("text", F.lit(1))})
-    ranked, repeated = _neighbours(plain)
-    same = plain["doc_id"].eqNullSafe(ranked["doc_id"]) & (plain["h"] == ranked["h"]) & (plain["g"] == ranked["g"])
-    placed = plain.join(ranked, same).select("rank", "asker", "asked", "n", "text")
+    plain = pick(docs, "doc_id", "text")
+    id_type = plain.schema["doc_id"].dataType
+    plain = plain.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), text.alias("text"))
+    plain = plain.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64("text", F.lit(1))})
+    asks, repeated = _neighbours(plain)
+    to = [F.col(f"to_{k}").alias(k) for k in KEY]
+    placed = plain.join(asks.drop("copies"), KEY)
     if repeated:
-        placed = placed.dropDuplicates(["rank"])
-    half = F.floor(F.col("n") / 2).cast("int")
-    heads = placed.select("rank", F.substring("text", F.lit(1), F.col("n").cast("int") - half).alias("head"))
-    tails = placed.select(F.col("asker").alias("rank"), F.substring("text", F.lit(1), F.col("asked")).alias("tail"))
-    edited = heads.join(tails, "rank").select("rank", F.concat("head", "tail").alias("text"))
-
-    own = stored(fingerprints(placed.select("rank", "text"), "rank"), "prints")
-    changed = fingerprints(edited.withColumn("sha", F.sha2("text", 256)).select(F.struct("rank", "sha").alias("key"), "text"), "key")
-    changed = changed.select("key.rank", F.col("key.sha").alias("edited_sha256"), F.struct("units", "wide", "counts").alias("e"))
-    own = own.select("rank", F.struct("units", "wide", "counts").alias("f"))
-    asked = ranked.select(F.col("asker").alias("rank"), F.col("rank").alias("next"))
-    nexts = own.select(F.col("rank").alias("next"), F.col("f").alias("x")).join(asked, "next").select("rank", "x")
-    rows = own.join(changed, "rank").join(nexts, "rank").join(ranked.select("rank", "doc_id", "n", "copies"), "rank")
+        placed = placed.dropDuplicates(KEY)
+    half = F.floor(F.length("text") / 2).cast("int")
+    heads = placed.select(*KEY, F.length("text").alias("n"), F.substring("text", F.lit(1), F.length("text") - half).alias("head"))
+    tails = placed.select(*to, F.substring("text", F.lit(1), F.col("asked")).alias("tail"))
+    edited = heads.join(tails, KEY).select(*KEY, "n", F.concat("head", "tail").alias("text"))
+
+    fields = F.struct("units", "wide", "counts")
+    own = stored(fingerprints(placed if repeated else plain, *KEY).select(*KEY, fields.alias("f")), "prints")
+    changed = fingerprints(edited.withColumn("sha", F.sha2("text", 256)), *KEY, "n", "sha").select(
+        *KEY, "n", F.col("sha").alias("edited_sha256"), fields.alias("e"))
+    nexts = own.join(asks, KEY).select(*to, F.col("f").alias("x"))
+    rows = changed.join(own, KEY).join(nexts, KEY)
     if repeated:
-        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        rows = rows.join(asks.select(*KEY, "copies"), KEY).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     written = lambda c: as_text(F.col(c)["units"], F.col(c)["wide"], F.col(c)["counts"])
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256",
+        F.when(F.col("has_id"), F.col("id")).cast(id_type).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
         written("f").alias("fingerprint"), written("e").alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("x")).alias("near_next"))
