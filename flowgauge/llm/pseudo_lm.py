@@ -1,10 +1,14 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 Every token is predicted from the tokens on both sides of it, as if it alone were
-masked; the summed log-probabilities score a document. Tokens are words hashed to a
-fixed number of classes. The network adds up one embedding per place in the window,
-squashes the sum, and predicts a token in two steps (its group, then its member of
-the group given that), so that a prediction costs two small softmaxes.
+masked; the summed log-probabilities score a document. The network adds up one embedding
+per place in the window, squashes the sum, and predicts an id in two steps (its group,
+then its member of the group given that), so that a prediction costs two small softmaxes.
+
+Tokens are the words themselves. All words are counted in Spark; those that occur often
+enough are listed. The most frequent have an id of their own, the other listed ones share
+ids and are told apart by their counts, and a word off the list has an id by its first
+bytes and is told apart by its spelling: a byte model of all such words, given that id.
 
 It is trained in numpy where the data lies: each task runs over all its tokens from the
 same start, and the networks are averaged, weighted by the tokens each has seen. A
@@ -13,17 +17,21 @@ that the networks of the last round, which reads every token, stay close enough
 averaged. What reaches the driver is one network, whatever the corpus.
 """
 
+import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowgauge.llm.shared import add_columns, pick
+from flowgauge.session import stored
 
 SIDE = 32               # groups, and members of a group
+WIDE_SIDE = 64          # of a corpus that lists more words than fit into the smaller
 VOCABULARY = SIDE * SIDE
-PAD = VOCABULARY
+PAD = VOCABULARY        # the place after the last id, at any side
 WIDTH = 32
 PLACES = (-2, -1, 1, 2)
 BATCH = 4096            # tokens of a training step
@@ -31,36 +39,196 @@ BUFFER = 1 << 17        # tokens that are shuffled and trained on, or scored, to
 RATE = 0.08
 FIRST = 8               # the first round reads one text in this many
 BLOCK = 2048            # numbers of a row in which networks travel
-CACHED = 500_000
+CACHED = 300_000        # words off the list that are remembered
+LEAST = 5               # occurrences of a listed word
+MOST = 500_000          # listed words, for the memory of a Python worker
+COUNTED = 200_000       # words that a task counts before it passes them on
+END = 32                # the byte around words
+
+
+def shapes(side):
+    return {"embed": (len(PLACES), side * side + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, side), "group_shift": (side,),
+            "member": (WIDTH, side), "member_shift": (side, side)}
+
 
-SHAPES = {"embed": (len(PLACES), VOCABULARY + 1, WIDTH), "shift": (WIDTH,), "group": (WIDTH, SIDE), "group_shift": (SIDE,),
-          "member": (WIDTH, SIDE), "member_shift": (SIDE, SIDE)}
+SHAPES = shapes(SIDE)
 
 
-def start(seed=5):
+def start(seed=5, side=SIDE):
     rng = np.random.default_rng(seed)
-    return {k: (rng.standard_normal(s) * (0.1 if k in ("embed", "group", "member") else 0.0)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (rng.standard_normal(s) * (0.1 if k in ("embed", "group", "member") else 0.0)).astype(np.float32) for k, s in shapes(side).items()}
 
 
 def flat(net):
     return np.concatenate([net[k].ravel() for k in SHAPES])
 
 
-def shaped(numbers):
-    ends = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])
-    return {k: part.reshape(s).copy() for (k, s), part in zip(SHAPES.items(), np.split(np.asarray(numbers, np.float32), ends[:-1]))}
+def shaped(numbers, side=SIDE):
+    found = shapes(side)
+    ends = np.cumsum([int(np.prod(s)) for s in found.values()])
+    return {k: part.reshape(s).copy() for (k, s), part in zip(found.items(), np.split(np.asarray(numbers, np.float32), ends[:-1]))}
+
+
+def _kind(byte):
+    """Bytes made alike for the place before the last: letters, digits, others, beyond ASCII."""
+    if byte == END:
+        return 0
+    if 97 <= byte <= 122:
+        return byte - 96
+    return 27 if 48 <= byte <= 57 else 28 if byte < 128 else 29 + (byte >> 5 & 1)
+
+
+KIND = [_kind(b) for b in range(256)]
+KINDS = 32
+
+
+def _opening(a, b, c, rest):
+    """Number, of ``rest``, of a word that starts with these bytes (END beyond its end)."""
+    return (a * 7919 + b * 263 + c * 31) % rest
+
+
+class Listing:
+    """The ids of a corpus's words, and their log-probabilities given the id.
+
+    ``words`` and ``counts`` are the listed words, the most frequent first. ``spelling``
+    has the occurrences of (kind of the byte before last, last byte, byte) in the rest."""
+
+    def __init__(self, words=(), counts=(), spelling=None):
+        self.side = SIDE if len(words) <= VOCABULARY - VOCABULARY // 8 else WIDE_SIDE
+        size = self.side * self.side
+        self.rest = size // 8 if len(words) else size
+        shared = size // 4 if len(words) > size - self.rest else 0
+        self.own, self.shared = min(len(words), size - self.rest - shared), shared
+        self.words, ranks = b" ".join(words), np.arange(len(words))
+        self.ids = np.where(ranks < self.own, ranks, 0).astype(np.int64)
+        if shared:
+            self.ids[self.own:] = [self.own + zlib.crc32(w) % shared for w in words[self.own:]]
+        counts = np.asarray(counts, np.float64)
+        total = np.bincount(self.ids, counts, size) if len(words) else np.zeros(size)
+        self.given = np.log(counts / total[self.ids]).astype(np.float32)
+        self.spelled = None if spelling is None else self._spelled(spelling)
+
+    def rest_id(self, word):
+        first = (*word[:3], END, END)
+        return self.own + self.shared + _opening(first[0], first[1], first[2], self.rest)
+
+    def _spelled(self, counts):
+        """Log-probabilities of a byte after two, and of each opening's share."""
+        counts = counts.reshape(KINDS, 256, 256).astype(np.float64)
+        one = counts.sum((0, 1)) + 0.01
+        two = counts.sum(0)
+        two = (two + 20 * one / one.sum()) / (two.sum(1, keepdims=True) + 20)
+        table = (counts + 5 * two) / (counts.sum(2, keepdims=True) + 5)
+        share, b = np.zeros(self.rest), np.arange(256)
+        kind = np.array(KIND)
+        for a in b[b != END]:
+            p = table[0, END, a] * table[0, a]                                  # of each second byte
+            third = p[:, None] * table[kind[a], b]
+            third[END] = 0
+            third[END, END] = p[END]                                            # the word has one byte
+            share += np.bincount(_opening(a, b[:, None], b, self.rest).ravel(), third.ravel(), self.rest)
+        return np.log(table).astype(np.float32).ravel(), np.log(share)
 
 
 class Words(dict):
-    """Class of a word, remembered."""
+    """Id of a word: the listed ones, and others as they are met."""
+
+    def __init__(self, listing=None):
+        self.listing = listing or Listing()
+        super().__init__(zip(self.listing.words.split(b" "), self.listing.ids.tolist()) if self.listing.words else ())
+        self.room = len(self) + CACHED
+
+    def made(self, word):
+        return self.listing.rest_id(word)
 
     def __missing__(self, word):
-        if len(self) > CACHED:
-            self.clear()
-        self[word] = got = zlib.crc32(word) % VOCABULARY
+        got = self.made(word)
+        if len(self) < self.room:
+            self[word] = got
         return got
 
 
+class Given(Words):
+    """Log-probability of a word given its id."""
+
+    def __init__(self, listing):
+        super().__init__(listing)
+        self.update(zip(list(self), listing.given.tolist()))
+        table, self.share = listing.spelled
+        self.table = memoryview(table)
+
+    def made(self, word):
+        total, kind, last = 0.0, 0, END
+        for byte in (*word, END):
+            total += self.table[(kind * 256 + last) * 256 + byte]
+            kind, last = KIND[last], byte
+        rest = self.listing.rest_id(word) - self.listing.own - self.listing.shared
+        return min(0.0, total - self.share[rest])
+
+
+def word_counts(texts):
+    """word (bytes), n: how often each word occurs; tasks add up first."""
+    def count(batches):
+        def rows(tally):
+            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
+
+        tally = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                tally.update(text.encode("utf-8", "replace").lower().split())
+                if len(tally) > COUNTED:
+                    yield rows(tally)
+                    tally = Counter()
+        if tally:
+            yield rows(tally)
+
+    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def listing(texts):
+    """The listing of a corpus. Its words are as many as occur ``LEAST`` times; beyond
+    ``MOST`` the rarer ones, all of a count together, are told by their spelling."""
+    counts = stored(word_counts(texts), "words")
+    least, size = LEAST, 0
+    for n, words in sorted(counts.filter(F.col("n") >= LEAST).groupBy("n").count().collect(), reverse=True):
+        size += words
+        if size > MOST:
+            least = n + 1
+            break
+
+    def bytes_of(batches):
+        sums = np.zeros(KINDS * 256 * 256, np.int64)
+        kinds = np.array(KIND)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
+            ends = np.flatnonzero(text == END)[1:]
+            times = np.repeat(batch.column(1).to_numpy(), np.diff(ends, prepend=0))     # a word's bytes and its end
+            before = np.concatenate([[END], text[:-2]])
+            before[np.flatnonzero(text[:-1] == END)] = END
+            sums += np.bincount((kinds[before] * 256 + text[:-1]) * 256 + text[1:], times, len(sums)).astype(np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["at", "n"])
+
+    spelling = np.zeros(KINDS * 256 * 256, np.int64)
+    found = counts.filter(F.col("n") < least).mapInArrow(bytes_of, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    spelling[found["at"].to_numpy()] = found["n"].to_numpy()
+    listed = counts.filter(F.col("n") >= least).toArrow()
+    pairs = sorted(zip(listed["n"].to_pylist(), listed["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
+    return Listing([w for _, w in pairs], [n for n, _ in pairs], spelling)
+
+
+_MADE = {}
+
+
+def _known(kind, listed):
+    """The dictionary of a broadcast listing: made once in a Python worker, and the last
+    of its kind only, since workers outlive their tasks."""
+    if _MADE.get(kind, (None, None))[0] != listed.value[0]:
+        _MADE[kind] = (listed.value[0], kind(listed.value[1]))
+    return _MADE[kind][1]
+
+
 def encoded(text, words):
     return np.fromiter(map(words.__getitem__, text.encode("utf-8", "replace").lower().split()), np.int64)
 
@@ -75,39 +243,44 @@ def _forward(net, around, target):
     for k in range(1, len(PLACES)):
         h = h + net["embed"][k][around[k]]
     h = np.tanh(h + net["shift"])
-    group = target // SIDE
+    group = target // len(net["group_shift"])
     first = _log_softmax(h @ net["group"] + net["group_shift"])
     second = _log_softmax(h @ net["member"] + net["member_shift"][group])
     return h, group, first, second
 
 
-def _laid_out(documents):
+def _laid_out(documents, pad):
     """Tokens in one array with padding between documents, and where tokens are."""
-    gap = np.full(max(PLACES), PAD, np.int64)
+    gap = np.full(max(PLACES), pad, np.int64)
     ids = np.concatenate([gap, *[part for d in documents for part in (d, gap)]])
-    return ids, np.flatnonzero(ids != PAD)
+    return ids, np.flatnonzero(ids != pad)
 
 
 def log_probabilities(net, documents):
     """Log-probability of every token of the documents, one after another."""
-    ids, at = _laid_out(documents)
+    side = len(net["group_shift"])
+    ids, at = _laid_out(documents, side * side)
     out = np.empty(len(at))
     for low in range(0, len(at), BATCH):
         here = at[low:low + BATCH]
         target = ids[here]
         _, group, first, second = _forward(net, [ids[here + p] for p in PLACES], target)
         rows = np.arange(len(here))
-        out[low:low + BATCH] = first[rows, group] + second[rows, target % SIDE]
+        out[low:low + BATCH] = first[rows, group] + second[rows, target % side]
     return out
 
 
-def _summed_by(index, rows, size):
-    """Sums of rows with equal index."""
+def _summed_by(index, rows):
+    """The different indices, and the sums of their rows."""
     order = np.argsort(index, kind="stable")
-    found, starts = np.unique(index[order], return_index=True)
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[found] = np.add.reduceat(rows[order], starts, axis=0)
-    return out
+    index = index[order]
+    starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
+def _moved(numbers, memory, slope, at=slice(None)):
+    memory[at] += slope * slope
+    numbers[at] -= RATE * slope / np.sqrt(memory[at])
 
 
 def step(net, memory, around, target):
@@ -116,26 +289,30 @@ def step(net, memory, around, target):
     n, rows = len(target), np.arange(len(target))
     d_first, d_second = np.exp(first), np.exp(second)
     d_first[rows, group] -= 1
-    d_second[rows, target % SIDE] -= 1
+    d_second[rows, target % len(net["group_shift"])] -= 1
     d_first /= n
     d_second /= n
     d_h = (d_first @ net["group"].T + d_second @ net["member"].T) * (1 - h * h)
-    slopes = {"shift": d_h.sum(0), "group": h.T @ d_first, "group_shift": d_first.sum(0), "member": h.T @ d_second,
-              "member_shift": _summed_by(group, d_second, SIDE),
-              "embed": np.stack([_summed_by(a.astype(np.uint16), d_h, VOCABULARY + 1) for a in around])}
+    slopes = {"shift": d_h.sum(0), "group": h.T @ d_first, "group_shift": d_first.sum(0), "member": h.T @ d_second}
     for k, slope in slopes.items():
-        memory[k] += slope * slope
-        net[k] -= RATE * slope / np.sqrt(memory[k])
+        _moved(net[k], memory[k], slope)
+    # Only rows that were met have a slope.
+    at, slope = _summed_by(group.astype(np.uint16), d_second)
+    _moved(net["member_shift"], memory["member_shift"], slope, at)
+    for k, a in enumerate(around):
+        at, slope = _summed_by(a.astype(np.uint16), d_h)
+        _moved(net["embed"][k], memory["embed"][k], slope, at)
 
 
-def trained(net, texts):
+def trained(net, texts, words):
     """The network after all tokens of an iterator of texts, and their number."""
     net = {k: v.copy() for k, v in net.items()}
-    memory = {k: np.full(s, 1e-8, np.float32) for k, s in SHAPES.items()}
-    rng, words, held, size, seen = np.random.default_rng(11), Words(), [], 0, 0
+    memory = {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
+    rng, held, size, seen = np.random.default_rng(11), [], 0, 0
+    pad = net["embed"].shape[1] - 1
 
     def consume():
-        ids, at = _laid_out(held)
+        ids, at = _laid_out(held, pad)
         rng.shuffle(at)
         for low in range(0, len(at), BATCH):
             here = at[low:low + BATCH]
@@ -152,10 +329,10 @@ def trained(net, texts):
     return net, seen + (consume() if size else 0)
 
 
-def _round(texts, net):
+def _round(texts, net, listed):
     """The average of the networks that the tasks train from ``net``."""
     def train(batches):
-        after, seen = trained(net, (t for b in batches for t in b.column(0).to_pylist()))
+        after, seen = trained(net, (t for b in batches for t in b.column(0).to_pylist()), _known(Words, listed))
         if seen:
             numbers = flat(after).astype(np.float64) * seen
             parts = [numbers[i:i + BLOCK] for i in range(0, len(numbers), BLOCK)]
@@ -176,26 +353,40 @@ def _round(texts, net):
 
     schema = "block int, seen long, numbers array<double>"
     rows = texts.mapInArrow(train, schema).repartition("block").mapInArrow(add, schema).orderBy("block").collect()
-    return shaped(np.concatenate([np.array(r["numbers"]) / r["seen"] for r in rows])) if rows else net
+    return shaped(np.concatenate([np.array(r["numbers"]) / r["seen"] for r in rows]), len(net["group_shift"])) if rows else net
+
+
+def _texts(docs):
+    return docs.select("text").filter(F.col("text").isNotNull())
 
 
-def fit(docs):
-    """A network trained on every token of ``docs`` (null texts have none)."""
-    texts = docs.select("text").filter(F.col("text").isNotNull())
-    net = _round(texts.filter(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0), start())
-    return _round(texts, net)
+def _shared(spark, listed):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, listed))
 
 
-def _grouped(texts, words):
-    held, size = [], 0
+def fit(docs, listed=None):
+    """A network trained on every token of ``docs`` (null texts have none), over the ids
+    of a broadcast listing; without one every word has an id by its first bytes."""
+    texts = _texts(docs)
+    listed = listed or _shared(docs.sparkSession, Listing())
+    net = start(side=listed.value[1].side)
+    net = _round(texts.filter(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0), net, listed)
+    return _round(texts, net, listed)
+
+
+def _grouped(texts, words, given):
+    """Ids of the documents, a buffer at a time, and the sums of their words given the ids."""
+    held, size, sums = [], 0, []
     for text in texts:
-        held.append(encoded(text or "", words))
-        size += len(held[-1])
+        tokens = (text or "").encode("utf-8", "replace").lower().split()
+        held.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
+        sums.append(sum(map(given.__getitem__, tokens)))
+        size += len(tokens)
         if size >= BUFFER:
-            yield held
-            held, size = [], 0
+            yield held, sums
+            held, size, sums = [], 0, []
     if held:
-        yield held
+        yield held, sums
 
 
 def scored(docs):
@@ -205,15 +396,16 @@ def scored(docs):
     A null text, or one without a word, has the sum 0 and no mean; copies of a text
     have equal scores; an empty table gives none."""
     plain = pick(docs, "doc_id", "text")
-    net = fit(plain)
+    listed = _shared(plain.sparkSession, listing(_texts(plain)))
+    net = fit(plain, listed)
 
     def make(batch):
-        words, lengths, sums = Words(), [], []
-        for documents in _grouped(batch.column(1).to_pylist(), words):
+        words, given, lengths, sums = _known(Words, listed), _known(Given, listed), [], []
+        for documents, apart in _grouped(batch.column(1).to_pylist(), words, given):
             ends = np.cumsum([0, *map(len, documents)])
             total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, documents))])
             lengths += np.diff(ends).tolist()
-            sums += (total[ends[1:]] - total[ends[:-1]]).tolist()
+            sums += (total[ends[1:]] - total[ends[:-1]] + apart).tolist()
         return [pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()),
                 pa.array([s / n if n else None for s, n in zip(sums, lengths)], pa.float64())]
 

@@ -335,6 +335,30 @@ def test_gradient_steps_follow_the_loss():
     assert loss(net) < before - 1
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    assert zlib.crc32(b"vjzzv") % 1024 == zlib.crc32(b"the") % 1024
+    rng = random.Random(3)
+    text = [" ".join(f"the {w}" for w in rng.choices(corpus.WORDS, k=60)) for _ in range(80)]
+    garbled = [t.replace("the", "vjzzv") for t in text[:2]]
+    rows = grouped(pseudo_lm.scored(corpus.frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(text + garbled + ["qzxv"])])).collect())
+    assert all(rows[i][0].mean_log_probability > rows[80 + i][0].mean_log_probability + 1 for i in range(2))
+    assert rows[82][0].log_probability < -5
+
+
+def test_words_given_their_ids_sum_to_one():
+    words = [b"w%d" % i for i in range(8000)]
+    counts = np.arange(8000, 0, -1)
+    spelling = np.random.default_rng(1).integers(0, 3, pseudo_lm.KINDS * 256 * 256)
+    listed = pseudo_lm.Listing(words, counts, spelling)
+    assert listed.side == pseudo_lm.WIDE_SIDE and 0 < listed.own and 0 < listed.shared
+    ids, given = pseudo_lm.Words(listed), pseudo_lm.Given(listed)
+    sums = np.bincount([ids[w] for w in words], np.exp([given[w] for w in words]))
+    assert sums[:listed.own + listed.shared] == pytest.approx(np.ones(listed.own + listed.shared), abs=1e-4)
+    table, share = listed.spelled
+    assert np.exp(table).reshape(-1, 256).sum(1) == pytest.approx(np.ones(pseudo_lm.KINDS * 256), abs=1e-3)
+    assert np.exp(share).sum() == pytest.approx(1 - np.exp(table[256 * pseudo_lm.END + pseudo_lm.END]), abs=1e-3)   # no word is empty
+
+
 # --- near duplicates ---
 
 def brute_fingerprint(text):
