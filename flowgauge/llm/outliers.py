@@ -27,7 +27,7 @@ from flowgauge.session import stored
 SHARE = 0.75            # part of a group the determinant is minimised over
 STEPS = 4               # concentration steps
 TAIL = 1e-7             # chance of rejecting a row of a normal group
-LEAST_ROWS = 50         # smaller groups are pooled by language, then over all
+LEAST_ROWS = 50         # smaller groups are judged by all rows of the language, then of the table
 # Spread below which a statistic says nothing, in its transformed unit. Repeats inside
 # the limit of the base rule are common in clean text, so theirs are wide.
 FLOORS = (0.05, 0.05, 0.12, 0.12, 0.03)
@@ -143,20 +143,24 @@ def _moments(rows, scale, *by):
 
 
 def _pools(vectors):
-    """The group whose estimate judges each language and source."""
+    """The group whose estimate judges each language and source, and the wider ones that
+    its rows count for as well: those that judge some small group."""
     sizes = vectors.groupBy("lang_key", "group_key").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < LEAST_ROWS)
-    by_lang = small.groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
-    pool = (F.when(F.col("n") >= LEAST_ROWS, F.col("group_key"))
-            .when(F.col("n_lang") >= LEAST_ROWS, F.col("lang_key")).otherwise(F.lit("")))
-    return stored(sizes.join(by_lang, "lang_key", "left").select("group_key", pool.alias("pool")), "pools")
+    by_lang = sizes.groupBy("lang_key").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    sized = stored(sizes.join(by_lang, "lang_key"), "sizes")
+    small, wide = F.col("n") < LEAST_ROWS, F.col("n_lang") >= LEAST_ROWS
+    pool = F.when(~small, F.col("group_key")).when(wide, F.col("lang_key")).otherwise(F.lit(""))
+    to_all = sized.filter(~wide).limit(1).count() > 0
+    also = F.filter(F.array(F.when(~small, F.col("group_key")), F.when(wide & (F.col("least") < LEAST_ROWS), F.col("lang_key")),
+                            F.lit("") if to_all else F.lit(None).cast("string")), lambda x: x.isNotNull())
+    return sized.select("group_key", pool.alias("pool"), also.alias("counts_for"))
 
 
 def fit(vectors):
     """One row per language and source: the centre and inverse covariance it is judged
     by. ``vectors`` has lang_key, group_key and x0..x4; it is read a few times a step."""
     pools = _pools(vectors)
-    vectors = vectors.join(pools, "group_key").select(F.col("pool").alias("group_key"), *XS)
+    vectors = vectors.join(pools, "group_key").select(F.explode("counts_for").alias("group_key"), *XS)
     best = _estimates(vectors)
     return stored(pools.join(best.withColumnRenamed("group_key", "pool"), "pool").select("group_key", "centre", "inverse"), "models")
 
@@ -199,8 +203,8 @@ def quality(docs):
     """One row per document: doc_id, the counts, base_failed, distance2, kept.
 
     A null text counts as empty and fails the base rule; a null language or source is
-    a value of its own; groups under ``LEAST_ROWS`` rows are judged by the pool of such
-    groups of their language, failing that of all, failing that by the base rule alone; repeated rows are judged one by one and alike; an empty table gives none."""
+    a value of its own; groups under ``LEAST_ROWS`` rows are judged by the estimate over all
+    rows of their language, failing that of the table, failing that by the base rule alone; repeated rows are judged one by one and alike; an empty table gives none."""
     plain = pick(docs, "doc_id", "text", "lang", "source")
     vectors = stored(with_statistics(plain, "text", "lang", "source").drop("text"), "vectors")
     return judged(vectors, fit(vectors)).select(

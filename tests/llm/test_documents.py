@@ -128,6 +128,18 @@ def test_outliers_of_a_group_and_only_they_go(spark):
     assert {r.doc_id for r in rows if not r.kept} == {d[0] for d in junk + loud}
 
 
+def test_rows_of_tiny_groups_are_judged(spark):
+    rng = random.Random(2)
+    clean = [(i, corpus.prose(rng, 3), "en", f"s{i % 2}", 0) for i in range(300)]
+    make = lambda at, n, lang, source: [(at + i, " ".join(f"{rng.choice(corpus.WORDS)}***" for _ in range(80)), lang, source, 0) for i in range(n)]
+    junk = make(1000, 30, "en", "tiny") + make(2000, 9, None, "tiny")
+    few = [(3000 + i, corpus.prose(rng, 3), "fr", "tiny", 0) for i in range(5)]
+    rows = outliers.quality(corpus.frame(spark, clean + junk + few)).collect()
+    assert {r.doc_id for r in rows if not r.kept} == {d[0] for d in junk}
+    alone = outliers.quality(corpus.frame(spark, clean[:20] + junk[:20])).collect()
+    assert all(r.kept and r.distance2 is None for r in alone)       # under LEAST_ROWS in all
+
+
 def test_estimate_is_that_of_concentration_steps(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 1, (400, outliers.P)), rng.normal(9, 0.1, (100, outliers.P))])
