@@ -2,8 +2,8 @@
 
 A fingerprint is a sum of vectors hashed from a document's paragraphs, so it does not
 depend on their order, and a paragraph is put in or taken out by adding or subtracting
-its vector. Eight lanes modulo 2**32 carry equality. Beside them, 63 lanes modulo 2**21
-count, for each bit of a 64-bit hash, the clauses of the paragraphs that have it set:
+its vector. Eight lanes modulo 2**32 carry equality. Beside them, 64 lanes of 31
+bits count, for each bit of a 64-bit hash, the clauses of the paragraphs that have it set:
 the difference of two such vectors tells how much of the two multisets differs, which
 gives the likeness of two fingerprints without their texts.
 
@@ -17,9 +17,9 @@ from flowgauge.llm.shared import pick
 from flowgauge.session import stored
 
 WIDE = 4                        # 64-bit hashes of a paragraph, two lanes each
-LANES = 21                      # bits of a clause hash share a long with two others
-MASK = (1 << LANES) - 1
-SPREAD = 1 | 1 << LANES | 1 << 2 * LANES
+LANES = 32                      # a bit of a clause hash shares a long with the one so far above
+MOST = (1 << 31) - 1            # clauses that a lane holds; no text has more, as strings end there
+SPREAD = 1 | 1 << LANES
 CLAUSE = r"\n|(?<=[.!?,;:|%$#*&)])[ \t]+"
 
 
@@ -35,26 +35,26 @@ def paragraph_lanes(paragraphs):
 
 
 def fingerprints(texts, *keys):
-    """keys, units, wide (eight lanes), counts (21 longs of three lanes), per row of
-    ``texts`` (keys, text). More than two million clauses leave counts null: such a text
-    is alike its equals only."""
+    """keys, units, wide (eight lanes), counts (32 longs of two lanes), per row of
+    ``texts`` (keys, text)."""
     wide = [f"w{i}" for i in range(2 * WIDE)]
     # The lanes come first: beside the explode they would be worked out for every clause.
     laned = texts.select(*keys, "text", *[lane.alias(w) for w, lane in zip(wide, paragraph_lanes(F.split("text", "\n")))])
     split = laned.select(*keys, *wide, F.explode(F.split("text", CLAUSE)).alias("unit"))
     hashed = split.select(*keys, *wide, F.xxhash64("unit").alias("hash"))
-    bits = [F.try_sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(SPREAD))).alias(f"s{k}") for k in range(LANES)]
+    bits = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(SPREAD))).alias(f"s{k}") for k in range(LANES)]
     summed = hashed.groupBy(*keys, *wide).agg(F.count(F.lit(1)).alias("units"), *bits)
-    return summed.select(*keys, "units", F.array(*wide).alias("wide"),
-                         F.when(F.col("units") <= MASK, F.array(*[f"s{k}" for k in range(LANES)])).alias("counts"))
+    return summed.select(*keys, "units", F.array(*wide).alias("wide"), F.array(*[f"s{k}" for k in range(LANES)]).alias("counts"))
 
 
 def combined(a, b, sign=1):
     """The fingerprint columns of two multisets put together, or, with ``sign`` -1, of
-    the first without the second. Clauses add up as long as the counts hold them."""
+    the first without the second. More clauses than the lanes hold are an error."""
     wide = F.zip_with(a["wide"], b["wide"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32)))
     counts = F.zip_with(a["counts"], b["counts"], lambda x, y: x + sign * y)
-    return F.struct((a["units"] + sign * b["units"]).alias("units"), wide.alias("wide"), counts.alias("counts"))
+    units = a["units"] + sign * b["units"]
+    held = F.when(units > MOST, F.raise_error(F.lit("more clauses than a fingerprint's lanes hold")).cast("array<bigint>")).otherwise(counts)
+    return F.struct(units.alias("units"), wide.alias("wide"), held.alias("counts"))
 
 
 def as_text(units, wide, counts):
@@ -65,11 +65,8 @@ def as_text(units, wide, counts):
 
 def _lanes(counts, units):
     """Set bits less clear ones, of each lane."""
-    third = [F.transform(counts, lane) for lane in (
-        lambda x: x.bitwiseAND(F.lit(MASK)),
-        lambda x: F.shiftrightunsigned(x, LANES).bitwiseAND(F.lit(MASK)),
-        lambda x: F.shiftrightunsigned(x, 2 * LANES))]
-    return F.transform(F.concat(*third), lambda x: 2 * x - units)
+    half = [F.transform(counts, lane) for lane in (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)), lambda x: F.shiftrightunsigned(x, LANES))]
+    return F.transform(F.concat(*half), lambda x: 2 * x - units)
 
 
 def _square(lanes):

@@ -186,6 +186,17 @@ def test_order_insertion_and_deletion(spark):
     assert (back.units, back.wide, back.counts) == (by["a"].units, by["a"].wide, by["a"].counts)
 
 
+def test_texts_of_millions_of_clauses_are_alike(spark):
+    whole, edited = "cast(i % 997 as string)", "cast(i % 997 + if(i > 1100000, 5000, 0) as string)"
+    texts = [spark.sql(f"select '{k}' k, array_join(transform(sequence(1, 2200000), i -> {line}), '\\n') text") for k, line in (("a", whole), ("b", edited))]
+    prints = multiset_hash.fingerprints(texts[0].union(texts[1]), "k").select("k", F.struct("units", "wide", "counts").alias("f"))
+    x, y = prints.filter("k = 'a'").select(F.col("f").alias("x")), prints.filter("k = 'b'").select(F.col("f").alias("y"))
+    near, units = x.crossJoin(y).select(multiset_hash.likeness(F.col("x"), F.col("y")), "x.units").first()
+    assert units == 2_200_000 and 0.4 < near < 0.9           # two thirds by the counts themselves
+    with pytest.raises(Exception, match="more clauses"):
+        full = F.struct(F.lit(multiset_hash.MOST).alias("units"), F.col("x.wide").alias("wide"), F.col("x.counts").alias("counts"))
+        x.select(multiset_hash.combined(full, F.col("x")).alias("s")).collect()
+
 # --- personal data ---
 
 BASE = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
