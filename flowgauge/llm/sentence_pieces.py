@@ -13,6 +13,7 @@ once and remembered, and long texts are worked through in windows.
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SPACE = "▁"                    # stands for a space in pieces
 SPACE_BYTES = SPACE.encode()
 UNKNOWN_BYTE = "�".encode()    # what a byte that is not UTF-8 becomes
 WINDOW = 1 << 18        # bytes of text that are worked on at a time
-REMEMBERED = 60_000     # words whose ids a worker remembers
+REMEMBERED = 100_000    # words of a generation whose ids a worker remembers
 LONG_WORD = 64          # longer words are not remembered
 CUT = re.compile(rb"(?<=[0-9A-Za-z])(?= )")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6     # kinds of pieces, as the format numbers them
@@ -213,7 +214,8 @@ class Model:
         plain.Clear()
         plain.name, plain.add_dummy_prefix, plain.remove_extra_whitespaces, plain.escape_whitespaces = "identity", False, False, False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.words = {}
+        # Words and their ids in two generations: one met again moves to the younger.
+        self.young, self.old = {}, {}
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def _ids(self, normalised):
@@ -222,16 +224,20 @@ class Model:
         if not self.by_word:
             return np.array(self.bare.encode(text), np.int32)
         words = self.word.findall(text)
-        known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known = self.words = {}
-            new = list(dict.fromkeys(words))
-        ids = dict(zip(new, (np.array(i, np.int32).tobytes() for i in self.bare.encode(new, num_threads=1)))) if new else {}
-        known.update((w, i) for w, i in ids.items() if len(w) <= LONG_WORD)
-        if len(ids) != len(new) or len(known) > REMEMBERED or any(len(w) > LONG_WORD for w in ids):
-            return np.frombuffer(b"".join([known[w] if w in known else ids[w] for w in words]), np.int32)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        known = self.young
+        distinct = set(words).difference(known)
+        again = [w for w in distinct if w in self.old]
+        known.update((w, self.old[w]) for w in again)
+        new = list(distinct.difference(again))
+        ids = [array("i", i).tobytes() for i in self.bare.encode(new, num_threads=1)] if new else []
+        known.update(zip(new, ids))
+        out = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+        return out
 
     def windows(self, text):
         """(ids, begins, ends) of the pieces of each window, places in bytes of ``text``;
