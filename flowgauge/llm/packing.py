@@ -26,7 +26,8 @@ from flowgauge.session import stored
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED = 350_000        # words of a generation whose ids a worker remembers
+CACHED = 200_000        # words of a generation whose ids a worker remembers
+TOGETHER = 20_000       # words that are tokenized in one go
 CHUNK = 1 << 20         # characters that are tokenized at a time
 MARK = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|\Z)")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -74,13 +75,14 @@ class Encoder:
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
         new = set().union(*split).difference(self.young)
-        again = new.intersection(self.old)
+        again = [word for word in new if word in self.old]
         self.young.update((word, self.old[word]) for word in again)
         decoded = {word: word.decode() for word in new.difference(again)}
         for plain, how in ((True, self._tokenized_plain), (False, self._tokenized)):
             some = [word for word, text in decoded.items() if bool(PLAIN.fullmatch(text)) == plain]
-            if some:
-                self.young.update(zip(some, how([decoded[word] for word in some])))
+            for at in range(0, len(some), TOGETHER):
+                part = some[at:at + TOGETHER]
+                self.young.update(zip(part, how([decoded[word] for word in part])))
         return [b"".join(map(self.young.__getitem__, words)) for words in split]
 
 
@@ -95,10 +97,12 @@ def encoder(path):
 
 
 def _chunks(texts):
+    """(row, text) of an Arrow array, in lists of about ``CHUNK`` characters."""
     chunk, size = [], 0
     for i, text in enumerate(texts):
-        chunk.append((i, text or ""))
-        size += len(text or "")
+        text = text.as_py() or ""
+        chunk.append((i, text))
+        size += len(text)
         if size >= CHUNK:
             yield chunk
             chunk, size = [], 0
@@ -121,7 +125,7 @@ def pieces(docs, tokenizer=TOKENIZER, capacity=CAPACITY, with_ids=False):
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            for chunk in _chunks(batch.column(1).to_pylist()):
+            for chunk in _chunks(batch.column(1)):
                 out, tokens = [], []
                 for (row, _), data in zip(chunk, encode([t for _, t in chunk])):
                     data += end
