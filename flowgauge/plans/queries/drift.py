@@ -3,10 +3,13 @@
 from pyspark.sql import functions as F
 
 from flowgauge.operators import drift
+from flowgauge.operators.centre_index import index_centres
+from flowgauge.operators.coreset import coreset_centroids
 from flowgauge.operators.scaling import apply_minmax, fit_minmax
 from flowgauge.plans.catalog import query
-from flowgauge.plans.flow import (ALPHA, CENTROIDS, DRIFT, FEATURES, KEY_LIST, KEYS, OLD, OLD_NEW, RANGES,
+from flowgauge.plans.flow import (ALPHA, CENTROIDS, DRIFT, FEATURES, FLOW, KEY_LIST, KEYS, OLD, OLD_NEW, RANGES, SHORT,
                                   distance_sql, flow, new_flow, old_flow, scaled_sql, table)
+from flowgauge.session import stored
 from flowgauge.streaming.monitor import windowed_drift
 
 
@@ -98,11 +101,11 @@ def drift_by_window(spark, sf_dir):
 @query(f"""WITH {OLD} SELECT CAST(50 AS BIGINT) AS k_clusters, {ALPHA}e0 AS alpha, 2e0 AS or_threshold_t,
 count(*) AS n_rows, true AS centres_in_range, true AS threshold_follows, true AS share_follows FROM old""")
 def kmeans_baseline(spark, sf_dir):
-    """The record with clustered centres, and whether threshold and base share are those
+    """The record with centres clustered from a coreset of all rows, and whether threshold and base share are those
     of the distances to the centres it returns."""
     old = old_flow(spark, sf_dir)
     scaled = apply_minmax(old, fit_minmax(old, FEATURES))
-    fitted = drift.fit_drift(scaled, FEATURES, alpha=ALPHA, partitions=spark.sparkContext.defaultParallelism)
+    fitted = drift.fit_drift(scaled, FEATURES, alpha=ALPHA, partitions=spark.sparkContext.defaultParallelism, clustering="coreset")
     gaps = [[(F.col(c) - v) ** 2 for c, v in zip(FEATURES, point)] for point in fitted.centroids]
     distance = F.sqrt(F.array_min(F.array(*[sum(squares[1:], squares[0]) for squares in gaps]))).alias("distance")
     beyond = F.avg(F.when(F.col("distance") > fitted.ci_threshold, 1.0).otherwise(0.0))
@@ -112,3 +115,38 @@ def kmeans_baseline(spark, sf_dir):
         "k_clusters", "alpha", "or_threshold_t", "n_rows", F.lit(inside).alias("centres_in_range"),
         (F.abs(F.col("ci") - F.col("ci_threshold")) < 1e-6).alias("threshold_follows"),
         (F.abs(F.col("share") - F.when(F.col("base_was_zero"), 0.0).otherwise(F.col("base_outlier_ratio"))) < 1e-6).alias("share_follows"))
+
+
+@query(f"""WITH {OLD} SELECT count(*) AS n_rows, CAST(50 AS BIGINT) AS k_clusters, true AS cost_within_5_percent FROM old""")
+def coreset_cost(spark, sf_dir):
+    """Whether centres from one pass cost at most 5% more, over all rows, than those of
+    up to 300 iterations over all rows."""
+    old = old_flow(spark, sf_dir)
+    scaled = stored(apply_minmax(old, fit_minmax(old, FEATURES)), "scaled")
+    cores = spark.sparkContext.defaultParallelism
+    fits = {"one_pass": coreset_centroids(scaled, FEATURES, drift.CLUSTERS, partitions=cores),
+            "iterated": drift.fit_centroids(scaled, FEATURES, partitions=cores)}
+    for name, centres in fits.items():
+        scaled = drift.with_distance(scaled, FEATURES, centres, name)
+    within = F.sum(F.pow("one_pass", 2)) <= 1.05 * F.sum(F.pow("iterated", 2))
+    return scaled.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(fits["one_pass"])).cast("long").alias("k_clusters"), within.alias("cost_within_5_percent"))
+
+
+_ORDER_MEANS = ", ".join(f"avg({s}) AS c{s}" for s in SHORT.values())
+_ORDER_GAPS = " + ".join(f"(p.{s} - c{s}) * (p.{s} - c{s})" for s in SHORT.values())
+
+
+@query(f"""WITH {FLOW}, {RANGES.replace('FROM old', 'FROM flow')}, {scaled_sql('flow', 'flow_s')},
+centroids AS (SELECT l_orderkey, {_ORDER_MEANS} FROM flow_s GROUP BY l_orderkey),
+points AS (SELECT *, row_number() OVER () AS point FROM flow_s WHERE l_orderkey % 20 = 0)
+SELECT {', '.join('p.' + k for k in KEYS)}, round(min(sqrt({_ORDER_GAPS})), 6) AS distance
+FROM points p, centroids GROUP BY p.point, {', '.join('p.' + k for k in KEYS)}""")
+def centre_index_distance(spark, sf_dir):
+    """A search: lines of every twentieth order against the mean lines of all orders,
+    through an index over the means."""
+    rows = flow(spark, sf_dir)
+    scaled = apply_minmax(rows, fit_minmax(rows, FEATURES), KEYS)
+    means = scaled.groupBy("l_orderkey").agg(F.array(*[F.avg(c) for c in FEATURES]).alias("centroid"))
+    index = index_centres(means.withColumnRenamed("l_orderkey", "cluster"), len(FEATURES))
+    found = index.with_nearest(scaled.filter("l_orderkey % 20 = 0"), FEATURES)
+    return _rounded(found.select(*KEYS, "distance"), "distance")

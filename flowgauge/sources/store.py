@@ -6,8 +6,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from flowgauge.errors import NotFitted
+from flowgauge.operators.centre_index import index_centres
 from flowgauge.operators.detector import MODELS, Detector
-from flowgauge.operators.drift import DriftBaseline
+from flowgauge.operators.drift import CENTROID_BYTES, DriftBaseline
 from flowgauge.operators.profiles import Profiles
 from flowgauge.plans.baseline import Baseline
 
@@ -66,7 +67,12 @@ def save_drift(spark, drift, path):
 def load_drift(spark, path):
     folder = _current(spark, os.path.join(path, "drift"))
     config = _read(spark, folder, "drift_config").first()
-    centroids = [list(r["centroid"]) for r in _read(spark, folder, "centroids").orderBy("cluster").collect()]
+    table = _read(spark, folder, "centroids")
+    width = len(config["features"])
+    if config["k_clusters"] * 8 * width > CENTROID_BYTES:
+        centroids = index_centres(table, width)
+    else:
+        centroids = [list(r["centroid"]) for r in table.orderBy("cluster").collect()]
     return DriftBaseline(list(config["features"]), centroids, config["alpha"], config["mean_distance"],
                          config["std_distance"], config["ci_threshold"], config["base_outlier_ratio"],
                          config["base_was_zero"], config["or_threshold_t"], config["n_rows"])
