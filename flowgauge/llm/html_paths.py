@@ -5,6 +5,10 @@ one. A container is named by its generalised path: tags with their classes, digi
 alike. Votes are summed per host and path in Spark, so that pages of one site correct
 each other; then every page is read again along its host's winning path. Pages whose
 host has no winner in them fall back on their own best container.
+
+Words of a class or id that speak of menus, adverts or comments, and forms, only mark
+what is inside. A mark does not reach into an ``article`` or ``main``, and does not count
+where it covers most of a page's paragraphs or all of its text: then it is a wrapper.
 """
 
 import html
@@ -30,12 +34,18 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 
 # What is never part of an article: by tag, by role and by words of class or id.
-BOILER_TAGS = frozenset("nav footer header aside form button menu dialog".split())
+BOILER_TAGS = frozenset("nav footer header aside button menu dialog".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 BOILER_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation
 menu breadcrumb breadcrumbs footer header masthead sidebar aside widget related recommended share sharing social cookie cookies consent
 notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus reply replies respond pagination pager
 toolbar skip copyright legal""".split())
+# Readers' comments can be longer than the article and made of articles: their mark reaches
+# into those, and counts unless the page's heading is inside.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+# Beside one of these a word says what a container has or lacks, not what it is.
+BEFORE, AFTER = frozenset("no not non has have with without hide".split()), frozenset("free enabled disabled less".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 pre blockquote li".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -81,11 +91,23 @@ def _attributes(raw):
 def _boiler(tag, attributes):
     if tag in BOILER_TAGS:
         return True
-    if not attributes:
-        return False
-    names = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()) if tag not in ("html", "body", "article", "main") else ()
-    return (attributes.get("role", "").lower() in BOILER_ROLES or any(n in BOILER_WORDS for n in names)
-            or attributes.get("aria-hidden") == "true" or "hidden" in attributes or bool(HIDDEN.search(attributes.get("style", ""))))
+    return bool(attributes) and (attributes.get("role", "").lower() in BOILER_ROLES or attributes.get("aria-hidden") == "true"
+                                 or "hidden" in attributes or bool(HIDDEN.search(attributes.get("style", ""))))
+
+
+def _mark(tag, attributes):
+    """What the words of a class or id say: "" (nothing), "boiler" or "comment"."""
+    said = "boiler" if tag == "form" else ""
+    if not attributes or tag in ("html", "body"):
+        return said
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = ["", *WORDS.findall(name), ""]
+        for before, part, after in zip(parts, parts[1:], parts[2:]):
+            if part in BOILER_WORDS and before not in BEFORE and after not in AFTER:
+                if part in COMMENT_WORDS:
+                    return "comment"
+                said = said or "boiler"
+    return "" if tag in ("article", "main") else said
 
 
 def _step(tag, attributes):
@@ -106,12 +128,14 @@ class Page:
     """Blocks of text, each with the open containers, and what containers hold.
 
     ``containers`` has (key of the path, parent's place, step); ``blocks`` has
-    (container, text, characters inside links, kind of block)."""
+    (container, text, characters inside links, kind of block), without blocks whose mark
+    counts."""
 
     def __init__(self, source):
         self.containers, self.blocks = [(0, -1, "")], []
-        self._stack, self._held = [], Counter()     # (tag, container, boiler, link); tags on it
+        self._stack, self._held = [], Counter()     # (tag, container, boiler, link, mark); tags on it
         self._text, self._linked, self._kind = [], 0, ""
+        self._marks, self._marked = [(-1, "")], []  # (mark around, what it says); the mark of each block
         for text, closing, tag, raw in _tags(source):
             if text and not (self._stack and self._stack[-1][2]):
                 self._text.append(text)
@@ -121,15 +145,38 @@ class Page:
                 break
             self._close(tag) if closing else self._open(tag, raw)
         self._end_block()
+        self._weigh_marks()
 
     def _end_block(self):
         if self._text:
             text = " ".join(_unescaped("".join(self._text)).split())
             if text:
-                inside = self._stack[-1][1] if self._stack else 0
+                inside, mark = (self._stack[-1][1], self._stack[-1][4]) if self._stack else (0, 0)
                 self.blocks.append((inside, text, self._linked, self._kind))
+                self._marked.append(mark)
         self._text, self._linked, self._kind = [], 0, ""
 
+    def _weigh_marks(self):
+        """Takes out the blocks under a mark that counts."""
+        if len(self._marks) == 1:
+            return
+        held, heading = [0] * len(self._marks), [False] * len(self._marks)
+        for (_, text, linked, kind), mark in zip(self.blocks, self._marked):
+            if kind in PARAGRAPHS:
+                held[mark] += max(0, len(text) - 2 * linked)
+                heading[mark] |= kind == "h1"
+        total = sum(held)
+        for i in range(len(held) - 1, 0, -1):
+            around = max(self._marks[i][0], 0)
+            held[around] += held[i]
+            heading[around] |= heading[i]
+        counts = [False] * len(self._marks)
+        for i, (around, says) in enumerate(self._marks):
+            wrapper = 2 * held[i] > total and (says != "comment" or heading[i])
+            counts[i] = i > 0 and (not wrapper or counts[max(around, 0)])
+        left = [b for b, mark in zip(self.blocks, self._marked) if not counts[mark]]
+        self.blocks = left or self.blocks
+
     def _drop(self, i):
         self._held.subtract(s[0] for s in self._stack[i:])
         del self._stack[i:]
@@ -158,14 +205,20 @@ class Page:
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             return
         attributes = _attributes(raw)
-        parent = self._stack[-1] if self._stack else ("", 0, False, False)
+        parent = self._stack[-1] if self._stack else ("", 0, False, False, 0)
         inside = parent[1]
         if tag in CONTAINERS and not parent[2]:
             step = _step(tag, attributes)
             self.containers.append((hash((self.containers[inside][0], step)), inside, step))
             inside = len(self.containers) - 1
+        mark, says = parent[4], _mark(tag, attributes)
+        if tag in ("article", "main") and self._marks[mark][1] != "comment":
+            mark = 0
+        if says:
+            self._marks.append((mark, says))
+            mark = len(self._marks) - 1
         self._held[tag] += 1
-        self._stack.append((tag, inside, parent[2] or tag in RAW or _boiler(tag, attributes), parent[3] or tag == "a"))
+        self._stack.append((tag, inside, parent[2] or tag in RAW or _boiler(tag, attributes), parent[3] or tag == "a", mark))
         if tag in BLOCKS:
             self._kind = tag
 
@@ -187,7 +240,7 @@ class Page:
         container around as well, so that a split article is won by what holds it."""
         own = [0.0] * len(self.containers)
         for inside, text, linked, kind in self.blocks:
-            weight = 1.0 if kind in ("p", "h1", "h2", "h3", "h4", "pre", "blockquote", "li") else 0.5
+            weight = 1.0 if kind in PARAGRAPHS else 0.5
             own[inside] += max(0, len(text) - 2 * linked) * weight
         for i in range(len(own) - 1, 0, -1):
             own[self.containers[i][1]] += own[i] / 2
@@ -236,7 +289,7 @@ def _votes(pages):
                     if score > 0:
                         row = tally[host, page.path(best)]
                         row[0] += 1
-                        row[1] += min(score, 10_000.0) ** 0.5     # a long page is not worth many short ones
+                        row[1] += score ** 0.5      # a long page is not worth many short ones
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[i] for k in tally], pa.string()) for i in (0, 1)]
                 + [pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.float64())],

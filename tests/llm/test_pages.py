@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import html
 import os
+import re
 import sys
 
 import pytest
@@ -56,13 +58,49 @@ def test_pages_of_a_site_agree_on_the_path(spark):
             "site.example": "/body/div.post-#", "alone.example": "/body/main"}
 
 
+STORY = "<h1>Head</h1>" + "".join(f"<p>Paragraph {i} of the story, with <i>some</i> more words in it.</p>" for i in range(8))
+PLAIN_STORY = "\n".join(["Head", *(f"Paragraph {i} of the story, with some more words in it." for i in range(8))])
+WRAPPERS = ['class="content"', 'class="content no-sidebar"', 'class="layout has-sidebar"', 'class="page-with-ads"', 'class="elementor-widget-container"',
+            'class="post share-enabled"', 'id="legal-article"', 'id="notice-board"', 'class="reply-free content"', 'class="comments-off comment"']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", '<div class="inner">{}</div>'])
+@pytest.mark.parametrize("outer", ["<div {}>{}</div>", "<form><div {}>{}</div></form>"])
+def test_words_of_a_wrapper_do_not_cost_the_article(wrapper, inner, outer):
+    rest = '<div class="menu"><p>Menu text.</p></div><div class="ad"><p>Advert text.</p></div><form><p>Your name</p></form>'
+    comments = '<div id="comments"><article class="comment"><p>First comment.</p></article><ol class="replies"><li>A reply.</li></ol></div>'
+    page = html_paths.Page(SHELL.format(rest + outer.format(wrapper, inner.format(STORY)) + comments))
+    assert page.along(None) == PLAIN_STORY
+    assert page.along("/body") == PLAIN_STORY
+
+
+def test_long_comments_and_marked_pages():
+    comments = '<section class="comments">' + "".join(f'<article><p>Comment {i}, which goes on for long.</p></article>' for i in range(60)) + "</section>"
+    assert html_paths.Page(SHELL.format(f"<div>{STORY}{comments}</div>")).along(None) == PLAIN_STORY
+    assert html_paths.Page(SHELL.format('<div class="notice">All there is.</div>').replace("We use cookies", "")).along(None) == "All there is."
+
+
+def test_wrapped_articles_of_a_site(spark):
+    rows = [(i, f"http://w.example/{i}", SHELL.format(f"<div {WRAPPERS[i % 9]}>{STORY}</div>")) for i in range(18)]
+    assert set(texts(spark, rows).values()) == {PLAIN_STORY}
+
+
+def read_plainly(source):
+    """A second reading of pages whose article is an ``article``: cut at block tags."""
+    inside = re.split("</article>", source.split("<article>")[1])[0]
+    inside = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", "", re.sub(r"(?i)<br\s*/?>", " ", inside))
+    blocks = re.split(r"(?i)</?(?:p|h[1-6]|ul|ol|li|div|section|table|tr|td|blockquote|pre)\b[^>]*>", inside)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return "\n".join(t for t in texts if t)
+
+
 def test_whole_table(spark, sf_dir):
     rows = queries.op1_consensus_paths(spark, sf_dir).collect()
     table = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert len(rows) == len(table)
     for r in rows:
-        inside = table[r.page_id].split("<article>")[1].split("</article>")[0]
-        assert r.text == html_paths.Page(inside).along("") and r.n_chars == len(r.text)
+        assert r.text == read_plainly(table[r.page_id]) and r.n_chars == len(r.text)
 
 
 def test_archive_matches_sql(spark, sf_dir):
