@@ -14,9 +14,10 @@ share the later anchor, and their bytes. Three exact steps leave only little to
 * a window whose anchor occurs once in the corpus is not repeated;
 * a cell that occurs twice, by a 128-bit hash, has all its windows repeated;
 * of the other cells and one copy of each repeated cell with the same anchor, the bytes
-  are dealt by anchor into parts of bounded size, and each part is suffix-sorted.
+  are dealt by anchor into parts, by a running total of bytes that bounds every part by
+  twice ``PART``, and each part is suffix-sorted.
 
-An anchor shared by more cells than a part should hold is not dealt into a part; its
+An anchor whose cells hold more bytes than a part should is not dealt into one; its
 windows are counted one by one with a map-side aggregate, which no hot anchor can skew.
 """
 
@@ -27,13 +28,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from flowgauge.functions.running import running_totals
 from flowgauge.llm.shared import pick
 from flowgauge.session import stored
 
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1        # grams in a window
-PART = 1 << 19                  # bytes that one suffix sort takes
+PART = 1 << 18                  # bytes that one suffix sort takes, or up to twice as many
+ROWS = 64                       # texts that are Python objects at a time
 CHUNK = 1 << 18                 # bytes that are hashed together
 HOT = 4096                      # cells of one anchor beyond which its windows are counted
 _RNG = np.random.default_rng(20)
@@ -136,6 +139,12 @@ def cells_of_many(texts):
     return [np.concatenate(column) for column in zip(*parts)]
 
 
+def _rows(batch):
+    """The rows of a batch as Python objects, few at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns))
+
+
 def _chunks(rows, size):
     """Rows (..., bytes) in lists of at least ``size`` bytes in all."""
     chunk, held = [], 0
@@ -153,7 +162,7 @@ def _cell_rows(docs):
     """One row per cell of every text (h, place) of at least ``LENGTH`` bytes."""
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t.encode("utf-8", "replace") for t in batch.column(2).to_pylist()))
+            rows = ((h, g, t.encode("utf-8", "replace")) for h, g, t in _rows(batch))
             for chunk in _chunks((row for row in rows if len(row[2]) >= LENGTH), CHUNK):
                 h, g, texts = zip(*chunk)
                 number, anchor, whole, first, last = cells_of_many(texts)
@@ -282,7 +291,7 @@ def _cut(wanted_texts):
     def run(batches):
         for batch in batches:
             rows = ((h, g, w["part"], w["anchor"], w["first"], data[w["first"]:w["last"] + LENGTH])
-                    for h, g, text, wanted in zip(*(c.to_pylist() for c in batch.columns))
+                    for h, g, text, wanted in _rows(batch)
                     for data in [text.encode("utf-8", "replace")] for w in wanted)
             for chunk in _chunks(rows, 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)],
@@ -302,18 +311,23 @@ def _hot_windows(cut):
     """Windows of hot anchors that occur twice, by a hash of 128 bits with the anchor's."""
     def run(batches):
         for batch in batches:
-            for h, g, anchor, first, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, g, anchor, first, data in _rows(batch):
                 _, long = gram_hashes(np.frombuffer(data, np.uint8))
                 n = len(data) - LENGTH + 1
                 whole = _mixed(_mixed(long[:n]) + long[LENGTH - 128:LENGTH - 128 + n])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, x)) for x in (h, g, anchor)] + [pa.array((first + np.arange(n)).astype(np.int32)), pa.array(whole.view(np.int64))],
-                    names=["h", "place", "anchor", "a", "window"])
+                    [pa.array(np.full(n, x)) for x in (h, g, anchor)]
+                    + [pa.array(x.astype(np.int32)) for x in (np.full(n, first), first + np.arange(n))] + [pa.array(whole.view(np.int64))],
+                    names=["h", "place", "anchor", "first", "at", "window"])
 
     rows = cut.filter("part < 0").select("h", "place", "anchor", "first", "data").mapInArrow(
-        _joined(run), "h long, place long, anchor long, a int, window long")
+        _joined(run), "h long, place long, anchor long, first int, at int, window long")
     twice = rows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "window")
-    return rows.join(twice, ["anchor", "window"]).select("h", "place", "a", F.col("a").alias("b"))
+    # A cell has at most SPAN windows; its runs are what leaves.
+    at = rows.join(twice, ["anchor", "window"]).groupBy("h", "place", "first").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    a = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
+    b = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
+    return at.select("h", "place", F.inline(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("a", "b"))
 
 
 def repeated_runs(docs, texts, hot=HOT, part=PART):
@@ -328,15 +342,17 @@ def repeated_runs(docs, texts, hot=HOT, part=PART):
     decided = rows.join(kinds.filter("n > 1").select("anchor", "cell"), ["anchor", "cell"]).select(
         "h", "place", F.col("first").alias("a"), F.col("last").alias("b"))
 
-    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("int")).alias("open"))
-    left = stored(kinds.join(anchors.filter("m > 1 and open > 0").select("anchor", "m"), "anchor").drop("n", "cell"), "open")
-    total, most = left.agg(F.sum(F.col("last") - F.col("first") + LENGTH), F.max("m")).first()
-    dealt = F.pmod(F.xxhash64("anchor"), F.lit(max(1, (total or 0) // part))).cast("int")
-    wanted = left.groupBy("h", "place").agg(F.collect_list(F.struct(
-        F.when(F.col("m") > hot, F.lit(-1)).otherwise(dealt).alias("part"), "anchor", "first", "last")).alias("wanted"))
+    size = F.col("last") - F.col("first") + LENGTH
+    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum(size).alias("bytes"), F.sum((F.col("n") == 1).cast("int")).alias("open"))
+    anchors = stored(anchors.filter("m > 1 and open > 0").withColumn("hot", (F.col("m") > hot) | (F.col("bytes") > part)).drop("open"), "anchors")
+    dealt = running_totals(anchors.filter("not hot"), [], ["anchor"], "bytes", "before")
+    dealt = dealt.select("anchor", F.floor(F.col("before") / part).cast("int").alias("part"))
+    to = dealt.union(anchors.filter("hot").select("anchor", F.lit(-1).alias("part")))
+    left = kinds.drop("n", "cell").join(to, "anchor")
+    wanted = left.groupBy("h", "place").agg(F.collect_list(F.struct("part", "anchor", "first", "last")).alias("wanted"))
     cut = _cut(texts.join(wanted, ["h", "place"]).select("h", "place", "text", "wanted"))
     runs = decided.union(cut.filter("part >= 0").groupBy("part").applyInPandas(_sort_part, "h long, place long, a int, b int"))
-    return runs.union(_hot_windows(cut)) if (most or 0) > hot else runs
+    return runs.union(_hot_windows(cut)) if anchors.filter("hot").limit(1).count() else runs
 
 
 def _removed(data, runs):
@@ -366,7 +382,7 @@ def without_repeats(docs, hot=HOT, part=PART):
     def run(batches):
         for batch in batches:
             rows = []
-            for h, g, t, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, g, t, found in _rows(batch):
                 data = t.encode("utf-8", "replace")
                 rows.append((h, g, len(data), *_removed(data, found)))
             columns = list(zip(*rows)) or [()] * 6
