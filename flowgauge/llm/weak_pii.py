@@ -180,7 +180,7 @@ def described(text, kind, start, end):
     return votes, cell
 
 
-CHECKSUM = 1            # the place of the labeler that knows checksums and ranges
+PRIOR = 2.0             # rows of a kind that the prior of a labeler's rates weighs
 VOTES = list(product((-1, 0, 1), repeat=6))
 CELL = (len(KINDS), 4, 3, 4, 4, 2, 3)
 
@@ -205,27 +205,47 @@ def _counts(docs, text):
     return stored(counted.withColumn("kind", (F.col("cell") / span).cast("int")), "votes")
 
 
-def estimate(kind, votes, n, rounds=100):
-    """Reliability of each labeler and probability of each row, by EM.
+def in_base(kind, votes):
+    """Rows that the base patterns find: of a base kind, in its strict form, and with no
+    checksum or range against them."""
+    return (kind < len(BASE)) & (votes[:, 0] == 1) & (votes[:, 1] >= 0)
 
-    A labeler has two rates: how often it votes for a span that is personal data, and
-    how often against one that is not; one that says yes to everything so counts for
-    nothing. Every kind has its own share of personal data. Weak priors keep rates
-    inside (0, 1); the checksum's are strong, since what it can say is known."""
-    n, share = np.asarray(n, float), np.full(len(KINDS), 0.5)
-    prior = np.full(votes.shape[1], 0.6)
-    prior[CHECKSUM] = 0.97
-    hit = miss = prior
-    weight = np.full(votes.shape[1], 10.0)
-    weight[CHECKSUM] += n.sum()
+
+def estimate(kind, votes, n, known=None, rounds=100):
+    """Reliability of each labeler for each kind, and probability of each row, by EM.
+
+    A labeler has two rates per kind: how often it votes for a span that is personal
+    data, and how often against one that is not. Rows ``known`` to be personal data keep
+    probability 1 and tell about the labelers, not about the share of personal data among
+    the others. A labeler that never votes both ways in a kind tells nothing apart
+    there and is left out (rates 0.5); where none is left, rows follow the plain majority.
+    EM starts from the majority of the votes, each less its labeler's mean in the kind. A
+    labeler's prior says that it votes alike on both sides and weighs ``PRIOR`` rows,
+    whatever the kind's size: any labeler that guesses is found out. ``hit`` and ``miss``
+    have a row per kind."""
+    n, kind = np.asarray(n, float), np.asarray(kind)
+    known = np.zeros(len(n), bool) if known is None else known
     yes, no = (votes == 1).astype(float), (votes == -1).astype(float)
-    for _ in range(rounds):
-        odds = (np.log(share[kind] / (1 - share[kind])) + yes @ np.log(hit / (1 - miss)) + no @ np.log((1 - hit) / miss))
-        p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        on, off = (p * n)[:, None], ((1 - p) * n)[:, None]
-        hit = ((yes * on).sum(0) + prior * weight) / (((yes + no) * on).sum(0) + weight)
-        miss = ((no * off).sum(0) + prior * weight) / (((yes + no) * off).sum(0) + weight)
-        share = np.array([((p * n)[kind == k].sum() + 1) / (n[kind == k].sum() + 2) for k in range(len(KINDS))])
+    p = (yes.sum(1) + 0.5) / (yes.sum(1) + no.sum(1) + 1)
+    hit, miss = np.full((2, len(KINDS), votes.shape[1]), 0.5)
+    for k in np.unique(kind):
+        at = kind == k
+        y, v, m, sure = yes[at], no[at], n[at][:, None], known[at]
+        p[at] = np.where(sure, 1.0, p[at])
+        differ = (y.max(0) > 0) & (v.max(0) > 0)
+        if not differ.any():
+            continue
+        y, v = y * differ, v * differ
+        usual = np.where(differ, (y * m).sum(0) / np.maximum(((y + v) * m).sum(0), 1), 0.5)
+        q = np.where(sure, 1.0, 1 / (1 + np.exp(-4 * (y * (1 - usual) - v * usual).sum(1))))
+        for _ in range(rounds):
+            on, off = q[:, None] * m, (1 - q)[:, None] * m
+            hit[k] = ((y * on).sum(0) + usual * PRIOR) / (((y + v) * on).sum(0) + PRIOR)
+            miss[k] = ((v * off).sum(0) + (1 - usual) * PRIOR) / (((y + v) * off).sum(0) + PRIOR)
+            share = (on[~sure].sum() + 1) / (m[~sure].sum() + 2)
+            odds = np.log(share / (1 - share)) + y @ np.log(hit[k] / (1 - miss[k])) + v @ np.log((1 - hit[k]) / miss[k])
+            q = np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+        p[at] = q
     return hit, miss, p
 
 
@@ -256,7 +276,8 @@ def fit(docs, text="text"):
     patterns = counts.groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").toPandas()
     if not len(patterns):
         return np.zeros(int(np.prod(CELL)), bool)
-    _, _, p = estimate(patterns["kind"].to_numpy(), np.array([VOTES[v] for v in patterns["votes"]]), patterns["n"])
+    kind, votes = patterns["kind"].to_numpy(), np.array([VOTES[v] for v in patterns["votes"]])
+    _, _, p = estimate(kind, votes, patterns["n"], in_base(kind, votes))
     known = docs.sparkSession.createDataFrame(pd.DataFrame({"kind": patterns["kind"], "votes": patterns["votes"], "p": p}),
                                               "kind int, votes int, p double")
     cells = (counts.join(known, ["kind", "votes"]).groupBy("cell")
