@@ -44,6 +44,7 @@ LEAST = 5               # occurrences of a listed word
 MOST = 500_000          # listed words, for the memory of a Python worker
 COUNTED = 200_000       # words that a task counts before it passes them on
 END = 32                # the byte around words
+SAFE = 60.0             # logits whose exponentials fit into 32-bit floats
 
 
 def shapes(side):
@@ -233,22 +234,41 @@ def encoded(text, words):
     return np.fromiter(map(words.__getitem__, text.encode("utf-8", "replace").lower().split()), np.int64)
 
 
-def _log_softmax(x):
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exponentials(x, weights, shift):
+    """exp(x), in the place of x, the sums of its rows, and their sums' logarithms before
+    rows were moved. No hidden number is beyond 1, so the weights bound the logits: where
+    these cannot overflow they stay, else every row is moved to its maximum first."""
+    top = 0.0
+    if np.abs(weights).sum(0).max() + np.abs(shift).max() >= SAFE:
+        top = x.max(1)
+        x -= top[:, None]
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], x.dtype)
+    return x, sums, np.log(sums) + top
 
 
-def _forward(net, around, target):
-    h = net["embed"][0][around[0]]
+def _logits(net, around, target):
+    h = np.take(net["embed"][0], around[0], 0)
     for k in range(1, len(PLACES)):
-        h = h + net["embed"][k][around[k]]
-    h = np.tanh(h + net["shift"])
+        h += np.take(net["embed"][k], around[k], 0)
+    h += net["shift"]
+    np.tanh(h, out=h)
     group = target // len(net["group_shift"])
-    first = _log_softmax(h @ net["group"] + net["group_shift"])
-    second = _log_softmax(h @ net["member"] + net["member_shift"][group])
+    first = h @ net["group"]
+    first += net["group_shift"]
+    second = h @ net["member"]
+    second += np.take(net["member_shift"], group, 0)
     return h, group, first, second
 
 
+def _forward(net, around, target):
+    """The hidden numbers, the targets' groups, and the log-probabilities of all groups
+    and of all members of the target's group."""
+    h, group, first, second = _logits(net, around, target)
+    logs = [x - _exponentials(x.copy(), net[k], net[k + "_shift"])[2][:, None] for k, x in (("group", first), ("member", second))]
+    return h, group, *logs
+
+
 def _laid_out(documents, pad):
     """Tokens in one array with padding between documents, and where tokens are."""
     gap = np.full(max(PLACES), pad, np.int64)
@@ -264,9 +284,12 @@ def log_probabilities(net, documents):
     for low in range(0, len(at), BATCH):
         here = at[low:low + BATCH]
         target = ids[here]
-        _, group, first, second = _forward(net, [ids[here + p] for p in PLACES], target)
+        _, group, first, second = _logits(net, [ids[here + p] for p in PLACES], target)
         rows = np.arange(len(here))
-        out[low:low + BATCH] = first[rows, group] + second[rows, target % side]
+        picked = first[rows, group] + second[rows, target % side]
+        for k, x in (("group", first), ("member", second)):
+            picked -= _exponentials(x, net[k], net[k + "_shift"])[2]
+        out[low:low + BATCH] = picked
     return out
 
 
@@ -275,7 +298,7 @@ def _summed_by(index, rows):
     order = np.argsort(index, kind="stable")
     index = index[order]
     starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[starts], np.add.reduceat(rows[order], starts, axis=0)
+    return index[starts], np.add.reduceat(np.take(rows, order, 0), starts, axis=0)
 
 
 def _moved(numbers, memory, slope, at=slice(None)):
@@ -285,13 +308,14 @@ def _moved(numbers, memory, slope, at=slice(None)):
 
 def step(net, memory, around, target):
     """One step of gradient descent with a rate per number (by past squares)."""
-    h, group, first, second = _forward(net, around, target)
+    h, group, first, second = _logits(net, around, target)
     n, rows = len(target), np.arange(len(target))
-    d_first, d_second = np.exp(first), np.exp(second)
-    d_first[rows, group] -= 1
-    d_second[rows, target % len(net["group_shift"])] -= 1
-    d_first /= n
-    d_second /= n
+    d_first, sums, _ = _exponentials(first, net["group"], net["group_shift"])
+    d_first *= (1 / (n * sums))[:, None]
+    d_second, sums, _ = _exponentials(second, net["member"], net["member_shift"])
+    d_second *= (1 / (n * sums))[:, None]
+    d_first[rows, group] -= 1 / n
+    d_second[rows, target % len(net["group_shift"])] -= 1 / n
     d_h = (d_first @ net["group"].T + d_second @ net["member"].T) * (1 - h * h)
     slopes = {"shift": d_h.sum(0), "group": h.T @ d_first, "group_shift": d_first.sum(0), "member": h.T @ d_second}
     for k, slope in slopes.items():
@@ -304,8 +328,8 @@ def step(net, memory, around, target):
         _moved(net["embed"][k], memory["embed"][k], slope, at)
 
 
-def trained(net, texts, words):
-    """The network after all tokens of an iterator of texts, and their number."""
+def trained(net, documents):
+    """The network after all tokens of an iterator of documents' ids, and their number."""
     net = {k: v.copy() for k, v in net.items()}
     memory = {k: np.full(v.shape, 1e-8, np.float32) for k, v in net.items()}
     rng, held, size, seen = np.random.default_rng(11), [], 0, 0
@@ -319,8 +343,7 @@ def trained(net, texts, words):
             step(net, memory, [ids[here + p] for p in PLACES], ids[here])
         return len(at)
 
-    for text in texts:
-        document = encoded(text, words)
+    for document in documents:
         held.append(document)
         size += len(document)
         if size >= BUFFER:
@@ -329,10 +352,10 @@ def trained(net, texts, words):
     return net, seen + (consume() if size else 0)
 
 
-def _round(texts, net, listed):
-    """The average of the networks that the tasks train from ``net``."""
+def _round(coded, net):
+    """The average of the networks that the tasks train from ``net`` on the ids of texts."""
     def train(batches):
-        after, seen = trained(net, (t for b in batches for t in b.column(0).to_pylist()), _known(Words, listed))
+        after, seen = trained(net, (_unpacked(x) for b in batches for x in b.column(0)))
         if seen:
             numbers = flat(after).astype(np.float64) * seen
             parts = [numbers[i:i + BLOCK] for i in range(0, len(numbers), BLOCK)]
@@ -352,7 +375,7 @@ def _round(texts, net, listed):
              pa.array([x.tolist() for _, x in sums.values()], pa.list_(pa.float64()))], names=["block", "seen", "numbers"])
 
     schema = "block int, seen long, numbers array<double>"
-    rows = texts.mapInArrow(train, schema).repartition("block").mapInArrow(add, schema).orderBy("block").collect()
+    rows = coded.mapInArrow(train, schema).repartition("block").mapInArrow(add, schema).orderBy("block").collect()
     return shaped(np.concatenate([np.array(r["numbers"]) / r["seen"] for r in rows]), len(net["group_shift"])) if rows else net
 
 
@@ -364,29 +387,53 @@ def _shared(spark, listed):
     return spark.sparkContext.broadcast((uuid.uuid4().hex, listed))
 
 
+def _unpacked(ids):
+    return np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64)
+
+
+def with_ids(docs, listed, text="text"):
+    """``docs`` without their texts, with the ids of their tokens (``ids``, two bytes each)
+    and ``apart``, the summed log-probabilities of the words given their ids. Written, so
+    that texts are split and looked up once for all that is done with them."""
+    at = docs.columns.index(text)
+
+    def make(batch):
+        words, given = _known(Words, listed), _known(Given, listed)
+        ids, apart = [], []
+        for value in batch.column(at):
+            tokens = (value.as_py() or "").encode("utf-8", "replace").lower().split()
+            ids.append(np.fromiter(map(words.__getitem__, tokens), "<u2", len(tokens)).tobytes())
+            apart.append(float(sum(map(given.__getitem__, tokens))))
+        return [pa.array(ids, pa.binary()), pa.array(apart, pa.float64())]
+
+    return stored(add_columns(docs, make, "ids binary, apart double").drop(text), "ids")
+
+
 def fit(docs, listed=None):
     """A network trained on every token of ``docs`` (null texts have none), over the ids
     of a broadcast listing; without one every word has an id by its first bytes."""
-    texts = _texts(docs)
-    listed = listed or _shared(docs.sparkSession, Listing())
-    net = start(side=listed.value[1].side)
-    net = _round(texts.filter(F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0), net, listed)
-    return _round(texts, net, listed)
-
-
-def _grouped(texts, words, given):
-    """Ids of the documents, a buffer at a time, and the sums of their words given the ids."""
-    held, size, sums = [], 0, []
-    for text in texts:
-        tokens = (text or "").encode("utf-8", "replace").lower().split()
-        held.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
-        sums.append(sum(map(given.__getitem__, tokens)))
-        size += len(tokens)
+    listed = listed or _shared(docs.sparkSession, Listing(spelling=np.zeros(KINDS * 256 * 256, np.int64)))
+    return fit_ids(with_ids(_texts(docs), listed), listed.value[1].side)
+
+
+def fit_ids(coded, side):
+    """A network trained on every token of the ids of ``with_ids``."""
+    coded = coded.select("ids").filter(F.length("ids") > 0)
+    net = _round(coded.filter(F.pmod(F.xxhash64("ids"), F.lit(FIRST)) == 0), start(side=side))
+    return _round(coded, net)
+
+
+def _grouped(column):
+    """The documents' ids, a buffer at a time."""
+    held, size = [], 0
+    for ids in column:
+        held.append(_unpacked(ids))
+        size += len(held[-1])
         if size >= BUFFER:
-            yield held, sums
-            held, size, sums = [], 0, []
+            yield held
+            held, size = [], 0
     if held:
-        yield held, sums
+        yield held
 
 
 def scored(docs):
@@ -397,16 +444,18 @@ def scored(docs):
     have equal scores; an empty table gives none."""
     plain = pick(docs, "doc_id", "text")
     listed = _shared(plain.sparkSession, listing(_texts(plain)))
-    net = fit(plain, listed)
+    coded = with_ids(plain, listed)
+    net = fit_ids(coded, listed.value[1].side)
 
     def make(batch):
-        words, given, lengths, sums = _known(Words, listed), _known(Given, listed), [], []
-        for documents, apart in _grouped(batch.column(1).to_pylist(), words, given):
+        lengths, sums = [], []
+        for documents in _grouped(batch.column(1)):
             ends = np.cumsum([0, *map(len, documents)])
             total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, documents))])
             lengths += np.diff(ends).tolist()
-            sums += (total[ends[1:]] - total[ends[:-1]] + apart).tolist()
+            sums += (total[ends[1:]] - total[ends[:-1]]).tolist()
+        sums = [s + a for s, a in zip(sums, batch.column(2).to_pylist())]
         return [pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()),
                 pa.array([s / n if n else None for s, n in zip(sums, lengths)], pa.float64())]
 
-    return add_columns(plain, make, "n_tokens long, log_probability double, mean_log_probability double").drop("text")
+    return add_columns(coded, make, "n_tokens long, log_probability double, mean_log_probability double").drop("ids", "apart")
