@@ -3,6 +3,7 @@
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from flowgauge.errors import NotFitted
@@ -13,10 +14,10 @@ from flowgauge.operators.profiles import Profiles
 from flowgauge.plans.baseline import Baseline
 
 
-def _read(spark, *parts):
+def _read(reader, *parts):
     path = os.path.join(*parts)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             raise NotFitted(f"nothing saved at {path}") from error
@@ -24,25 +25,52 @@ def _read(spark, *parts):
 
 
 def _versions(spark, path):
-    return _read(spark, path, "versions").orderBy(F.desc("number"))
+    return _read(spark.read.option("recursiveFileLookup", True), path, "versions").orderBy(F.desc("number"))
+
+
+def _claimed(spark, file):
+    """Whether this call made the file, which only one of several callers does."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(file)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if system.getScheme() == "file":            # whose own create looks first and makes after
+        local = where.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        system.create(where, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def _save(spark, path, tables):
-    """Write all tables as a new version, then append its name to the list of versions.
-    What was loaded from here before stays readable, and a save that breaks off leaves
-    the last whole version in place."""
-    try:
-        number = _versions(spark, path).first()["number"] + 1
-    except NotFitted:
-        number = 1
+    """Write all tables as a new version, claim the next free number and publish the
+    version under it; returns the number. Several savers at once get a number each and
+    none is lost; the highest is current. What was loaded from here before stays readable,
+    and a save that breaks off leaves the last whole version in place (and maybe a gap
+    in the numbers)."""
     name = f"version-{uuid.uuid4().hex}"
     for part, table in tables.items():
         if callable(table):
             table(os.path.join(path, name, part))
         else:
             table.write.parquet(os.path.join(path, name, part))
-    spark.range(1).select(F.lit(number).cast("bigint").alias("number"), F.lit(name).alias("name")).coalesce(1).write.mode(
-        "append").parquet(os.path.join(path, "versions"))
+    try:
+        number = _versions(spark, path).first()["number"] + 1
+    except NotFitted:
+        number = 1
+    while not _claimed(spark, os.path.join(path, "claims", f"{number:010d}")):
+        number += 1
+    # A folder of its own: jobs that append to one folder at once remove each other's files.
+    spark.range(1).select(F.lit(number).cast("bigint").alias("number"), F.lit(name).alias("name")).coalesce(1).write.parquet(
+        os.path.join(path, "versions", f"{number:010d}"))
+    return number
 
 
 def _current(spark, path):
@@ -56,7 +84,7 @@ def save_baseline(baseline, path):
 
 def load_baseline(spark, path):
     folder = _current(spark, os.path.join(path, "baseline"))
-    return Baseline(*[_read(spark, folder, part) for part in ("scaler", "labels", "weights")])
+    return Baseline(*[_read(spark.read, folder, part) for part in ("scaler", "labels", "weights")])
 
 
 def save_drift(spark, drift, path):
@@ -66,8 +94,8 @@ def save_drift(spark, drift, path):
 
 def load_drift(spark, path):
     folder = _current(spark, os.path.join(path, "drift"))
-    config = _read(spark, folder, "drift_config").first()
-    table = _read(spark, folder, "centroids")
+    config = _read(spark.read, folder, "drift_config").first()
+    table = _read(spark.read, folder, "centroids")
     width = len(config["features"])
     if config["k_clusters"] * 8 * width > CENTROID_BYTES:
         centroids = index_centres(table, width)
@@ -84,7 +112,7 @@ def save_profiles(profiles, path):
 
 def load_profiles(spark, path, label="label"):
     folder = _current(spark, os.path.join(path, "profiles"))
-    marginals, correlations = _read(spark, folder, "marginals"), _read(spark, folder, "correlations")
+    marginals, correlations = _read(spark.read, folder, "marginals"), _read(spark.read, folder, "correlations")
     first = correlations.select("features").first()
     return Profiles(marginals, correlations, list(first["features"]) if first else [], label)
 
@@ -97,7 +125,7 @@ def save_detector(spark, detector, path):
 
 def load_detector(spark, path):
     folder = _current(spark, os.path.join(path, "detector"))
-    about = _read(spark, folder, "about").first()
+    about = _read(spark.read, folder, "about").first()
     return Detector(MODELS[about["kind"]].load(os.path.join(folder, "model")), list(about["features"]), about["kind"])
 
 

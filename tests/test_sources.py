@@ -1,9 +1,11 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from conftest import rows
 from flowgauge.errors import HeaderMismatch
 from flowgauge.operators.columns import standardize_columns
-from flowgauge.sources import flow_csv, relabel
+from flowgauge.sources import flow_csv, relabel, store
 from flowgauge.sources.names import COLUMN_MAP
 
 
@@ -80,3 +82,15 @@ def test_relabel_files(spark, tmp_path):
     assert rows(df.groupBy("source", "Label").count()) == [
         ("hydra", "hydra", 2), ("hydra", "normal", 1), ("other", "1", 2), ("other", "normal", 1),
         ("sqlmap", "normal", 1), ("sqlmap", "sqli", 2)]
+
+
+def test_savers_at_once_get_a_version_each(spark, tmp_path):
+    path = str(tmp_path / "saved")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda i: store._save(spark, path, {"table": spark.range(i, i + 1)}), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    versions = store._versions(spark, path).collect()
+    assert [v.number for v in versions] == list(range(8, 0, -1))
+    kept = {v.number: spark.read.parquet(f"{path}/{v.name}/table").first().id for v in versions}
+    assert kept == {n: i for i, n in enumerate(numbers)}
+    assert store._current(spark, path).endswith(versions[0].name)
