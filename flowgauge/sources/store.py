@@ -117,10 +117,52 @@ def load_profiles(spark, path, label="label"):
     return Profiles(marginals, correlations, list(first["features"]) if first else [], label)
 
 
-def save_detector(spark, detector, path):
+def _detector_tables(spark, detector):
     about = spark.range(1).select(F.lit(detector.kind).alias("kind"),
                                   F.array(*[F.lit(f) for f in detector.features]).alias("features"))
-    _save(spark, os.path.join(path, "detector"), {"model": detector.model.save, "about": about})
+    return {"model": detector.model.save, "about": about}
+
+
+def save_detector(spark, detector, path):
+    return _save(spark, os.path.join(path, "detector"), _detector_tables(spark, detector))
+
+
+def save_response(spark, response, events, path):
+    """The refitted detector becomes the current one, in one version with its report and the
+    events that it answers; returns the version's number."""
+    tables = {**_detector_tables(spark, response.detector), "events": events}
+    if response.report is not None:
+        tables["report"] = response.report
+    return _save(spark, os.path.join(path, "detector"), tables)
+
+
+def answered_events(spark, path):
+    """The events of all published responses, or None before the first. What a response
+    that broke off has written is not among them."""
+    root = os.path.join(path, "detector")
+    try:
+        # Versions that answer no event have no such folder.
+        events = _read(spark.read, root, "version-*", "events")
+        published = _versions(spark, root).select("name")
+    except NotFitted:
+        return None
+    named = events.withColumn("name", F.regexp_extract(F.input_file_name(), "/(version-[0-9a-f]+)/events/", 1))
+    return named.join(published, "name", "left_semi").drop("name")
+
+
+def save_state(state, path, kind, part):
+    """Mergeable state of one part of the data (a day, a file). Saving a part again replaces
+    it, so a job that is repeated counts nothing twice."""
+    return _save(state.sparkSession, os.path.join(path, "state", kind, str(part).encode().hex()), {"state": state})
+
+
+def load_states(spark, path, kind):
+    """The last saved state of every part, together; merge them to get the state of all."""
+    root = os.path.join(path, "state", kind)
+    saved = _read(spark.read.option("recursiveFileLookup", True), root, "*", "versions").select(
+        "number", "name", F.regexp_extract(F.input_file_name(), "/([0-9a-f]+)/versions/", 1).alias("part"))
+    last = saved.groupBy("part").agg(F.max(F.struct("number", "name")).alias("last")).select("part", "last.name").collect()
+    return spark.read.parquet(*[os.path.join(root, row["part"], row["name"], "state") for row in last])
 
 
 def load_detector(spark, path):
