@@ -1,5 +1,7 @@
 """Drift baseline and checks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowgauge.operators import drift
@@ -9,7 +11,8 @@ from flowgauge.operators.scaling import apply_minmax, fit_minmax
 from flowgauge.plans.catalog import query
 from flowgauge.plans.flow import (ALPHA, CENTROIDS, DRIFT, FEATURES, FLOW, KEY_LIST, KEYS, OLD, OLD_NEW, RANGES, SHORT,
                                   distance_sql, flow, new_flow, old_flow, scaled_sql, table)
-from flowgauge.session import stored
+from flowgauge.session import shared_folder, stored
+from flowgauge.streaming import response
 from flowgauge.streaming.monitor import windowed_drift
 
 
@@ -150,3 +153,55 @@ def centre_index_distance(spark, sf_dir):
     index = index_centres(means.withColumnRenamed("l_orderkey", "cluster"), len(FEATURES))
     found = index.with_nearest(scaled.filter("l_orderkey % 20 = 0"), FEATURES)
     return _rounded(found.select(*KEYS, "distance"), "distance")
+
+
+# Two kinds of events grow threefold in the last third, so that there is something to confirm.
+_GROWN = "CASE WHEN ts >= TIMESTAMP '2024-01-20' AND event_type IN ('error', 'signup') THEN 3e0 * value ELSE value END"
+_IN_A_ROW = 3
+
+
+def _confirmed_sql(finished):
+    return f"""WITH grown AS (SELECT ts, event_type, {_GROWN} AS value FROM events),
+early AS (SELECT value FROM grown WHERE ts < {_FIRST_HALF}),
+middle AS (SELECT avg(value) AS c FROM early),
+fit AS (SELECT avg(abs(value - c)) + {_EVENT_ALPHA}e0 * stddev_pop(abs(value - c)) AS ci FROM early, middle),
+base AS (SELECT avg(CASE WHEN abs(value - c) > ci THEN 1e0 ELSE 0e0 END) AS ratio FROM early, middle, fit),
+days AS (SELECT event_type, date_trunc('day', ts) AS day, count(*) FILTER (WHERE abs(value - c) > ci) / count(*) AS share
+FROM grown, middle, fit WHERE {finished} GROUP BY ALL),
+tested AS (SELECT event_type, day, share / ratio AS or_value, share / ratio > 2 AS drifted FROM days, base),
+runs AS (SELECT *, count(*) FILTER (WHERE NOT drifted) OVER (PARTITION BY event_type ORDER BY day) AS run FROM tested),
+placed AS (SELECT *, row_number() OVER w AS place, min(day) OVER w AS first_day FROM runs WHERE drifted
+WINDOW w AS (PARTITION BY event_type, run ORDER BY day))
+SELECT event_type, strftime(first_day, '%Y-%m-%d') AS first_window, strftime(day, '%Y-%m-%d') AS window_start,
+round(or_value, 6) AS or_value FROM placed WHERE place = {_IN_A_ROW}"""
+
+
+def _grown_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("ts", "event_type", F.expr(_GROWN.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")).alias("value"))
+
+
+def _days(events):
+    return _rounded(events.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_window", "window_start")}), "or_value")
+
+
+@query(_confirmed_sql("true"))
+def drift_confirmed(spark, sf_dir):
+    """Per kind of event, the days that confirm a drift: the third in a row that has drifted."""
+    events = _grown_events(spark, sf_dir)
+    windows = windowed_drift(events, event_baseline(events), "ts", by=["event_type"])
+    return _days(response.confirmed_drift(windows, "event_type", _IN_A_ROW))
+
+
+@query(_confirmed_sql("date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM grown)"))
+def drift_confirmed_stream(spark, sf_dir):
+    """The same from a stream of the events, for the days that the watermark has closed."""
+    events = _grown_events(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    windows = windowed_drift(stream, event_baseline(events), "ts", watermark="1 hour", by=["event_type"])
+    confirmed = response.confirmed_drift(windows, "event_type", _IN_A_ROW)
+    writer = confirmed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
+    running = response.started(writer.trigger(availableNow=True), spark)
+    running.awaitTermination()
+    return _days(spark.read.schema(confirmed.schema).parquet(f"{folder}/out"))
