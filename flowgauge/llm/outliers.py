@@ -7,13 +7,15 @@ beyond a chi-square limit are rejected.
 
 The estimate runs as Spark aggregates over all rows: from two deterministic starts
 (medians with absolute deviations, and the classical moments), concentration steps
-keep the nearest ``SHARE`` of a group's rows and take their mean and covariance; of
-the two ends the one with the smaller determinant stays. A group is never gathered,
-whatever its size: each step is one quantile sketch and one set of sums per group.
+keep the nearest ``SHARE`` of a group's rows and take their mean and covariance, until
+the determinant falls no more; of the two ends the one with the smaller determinant
+stays. A group is never gathered, whatever its size: each step is one quantile sketch
+and one set of sums per group, for the groups whose determinant still falls.
 """
 
 import math
 import re
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -25,12 +27,15 @@ from flowgauge.llm.shared import add_columns, pick, positions
 from flowgauge.session import stored
 
 SHARE = 0.75            # part of a group the determinant is minimised over
-STEPS = 4               # concentration steps
+FALL = 1e-6             # a step that lowers the log determinant by less than this was the last
 TAIL = 1e-7             # chance of rejecting a row of a normal group
 LEAST_ROWS = 50         # smaller groups are judged by all rows of the language, then of the table
-# Spread below which a statistic says nothing, in its transformed unit. Repeats inside
-# the limit of the base rule are common in clean text, so theirs are wide.
-FLOORS = (0.05, 0.05, 0.12, 0.12, 0.03)
+# Spread below which a statistic says nothing, in its transformed unit.
+FLOORS = (0.05, 0.05, 0.06, 0.06, 0.03)
+# Most texts repeat no line and no words, so their robust spread is 0 where some repeats are
+# common. For these two the least spread of a group is that which its 95th percentile of
+# deviations has in a normal group, up to a limit that junk cannot push.
+REPEATS, REPEAT_TAIL, REPEAT_WIDE = (2, 3), 0.95, 0.12
 P = len(FLOORS)
 
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +115,7 @@ LIMIT = P * (1 - 2 / (9 * P) + NormalDist().inv_cdf(1 - TAIL) * math.sqrt(2 / (9
 
 XS = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-MODEL = "group_key string, start int, centre array<double>, inverse array<double>, log_det double, n long"
+MODEL = "group_key string, start int, centre array<double>, inverse array<double>, log_det double, n long, floors array<double>"
 
 
 def _distance(centre="centre", inverse="inverse"):
@@ -129,10 +134,10 @@ def _models(moments):
                 cov = np.zeros((P, P))
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = getattr(row, f"q{i}{j}") / n - centre[i] * centre[j]
-                cov = np.nan_to_num(cov) * row.scale + np.diag(np.square(FLOORS))
+                cov = np.nan_to_num(cov) * row.scale + np.diag(np.square(row.floors))
                 out.append((row.group_key, row.start, centre.tolist(), np.linalg.inv(cov).ravel().tolist(),
-                            float(np.linalg.slogdet(cov)[1]), int(row.n)))
-            yield pd.DataFrame(out, columns=["group_key", "start", "centre", "inverse", "log_det", "n"])
+                            float(np.linalg.slogdet(cov)[1]), int(row.n), row.floors))
+            yield pd.DataFrame(out, columns=["group_key", "start", "centre", "inverse", "log_det", "n", "floors"])
     return moments.mapInPandas(run, MODEL)
 
 
@@ -172,26 +177,46 @@ def _estimates(vectors):
     near = vectors.join(medians, "group_key")
     spread = near.groupBy("group_key", "n").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)],
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(XS)])
+        *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), [0.5, REPEAT_TAIL], 1000).alias(f"d{i}") for i, x in enumerate(XS)])
+    spread = stored(spread.withColumn("floors", F.array(*[_floor(i) for i in range(P)])), "spread")
     # As sums of a set with one row: mean m, second moment m*m plus the spread.
     robust = spread.select(
-        "group_key", F.lit(0).alias("start"), "n", F.lit(1).cast("long").alias("m"), F.lit(1.0).alias("scale"),
+        "group_key", F.lit(0).alias("start"), "n", "floors", F.lit(1).cast("long").alias("m"), F.lit(1.0).alias("scale"),
         *[F.col(f"m{i}").cast("double").alias(f"s{i}") for i in range(P)],
-        *[(F.col(f"m{i}") * F.col(f"m{j}") + (F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0))).alias(f"q{i}{j}")
+        *[(F.col(f"m{i}") * F.col(f"m{j}") + (F.pow(F.col(f"d{i}")[0] * 1.4826, 2) if i == j else F.lit(0.0))).alias(f"q{i}{j}")
           for i, j in PAIRS])
-    classical = _moments(vectors, 1.0, "group_key").filter(F.col("m") >= LEAST_ROWS).select(
-        "group_key", F.lit(1).alias("start"), F.col("m").alias("n"), "m", "scale",
+    classical = _moments(vectors, 1.0, "group_key").join(spread.select("group_key", "n", "floors"), "group_key").select(
+        "group_key", F.lit(1).alias("start"), "n", "floors", "m", "scale",
         *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in PAIRS])
-    models = stored(_models(robust.unionByName(classical)), "models")
-    for _ in range(STEPS):
-        at = vectors.join(models, "group_key").withColumn("d2", _distance())
-        cuts = stored(at.groupBy("group_key", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut")), "cuts")
-        kept = at.join(cuts, ["group_key", "start"]).filter(F.col("d2") <= F.col("cut"))
-        models = stored(_models(_moments(kept, CONSISTENCY, "group_key", "start", "n")), "models")
+    # The starts are no estimates of SHARE of the rows: their determinants do not count.
+    falling = _concentrated(vectors, stored(_models(robust.unionByName(classical)), "models"))
+    steps = [falling]
+    while not falling.isEmpty():
+        stepped = _concentrated(vectors, falling)
+        steps.append(stepped)
+        before = falling.select("group_key", "start", F.col("log_det").alias("before"))
+        falls = stepped.join(before, ["group_key", "start"]).filter(F.col("log_det") < F.col("before") - FALL)
+        falling = stored(falls.drop("before"), "models")
+    models = reduce(lambda a, b: a.unionByName(b), steps)
     best = F.min(F.struct("log_det", "start", "centre", "inverse", "n")).alias("best")
     return models.groupBy("group_key").agg(best).select("group_key", "best.centre", "best.inverse")
 
 
+def _floor(i):
+    if i not in REPEATS:
+        return F.lit(FLOORS[i])
+    normal = NormalDist().inv_cdf((1 + REPEAT_TAIL) / 2)
+    return F.least(F.lit(REPEAT_WIDE), F.greatest(F.lit(FLOORS[i]), F.col(f"d{i}")[1] / normal))
+
+
+def _concentrated(vectors, models):
+    """One concentration step of every model: the estimate from its nearest rows."""
+    at = vectors.join(models, "group_key").withColumn("d2", _distance())
+    cuts = stored(at.groupBy("group_key", "start").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut")), "cuts")
+    kept = at.join(cuts, ["group_key", "start"]).filter(F.col("d2") <= F.col("cut"))
+    return stored(_models(_moments(kept, CONSISTENCY, "group_key", "start", "n", "floors")), "models")
+
+
 def judged(vectors, models):
     """Adds distance2 (null without an estimate) and kept."""
     at = vectors.join(models, "group_key", "left").withColumn(

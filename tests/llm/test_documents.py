@@ -140,12 +140,48 @@ def test_rows_of_tiny_groups_are_judged(spark):
     assert all(r.kept and r.distance2 is None for r in alone)       # under LEAST_ROWS in all
 
 
+def concentrated(x):
+    """The estimate by numpy: both starts, steps until the determinant stays."""
+    def nth(v, q):
+        return np.sort(v, axis=0)[int(np.ceil(q * len(v))) - 1]
+    middle = nth(x, 0.5)
+    off = np.abs(x - middle)
+    floors = np.array(outliers.FLOORS)
+    floors[[2, 3]] = np.minimum(0.12, np.maximum(floors[[2, 3]], nth(off, 0.95)[[2, 3]] / 1.959963984540054))
+    least = np.diag(floors ** 2)
+    found = []
+    for centre, cov in ((middle, np.diag((1.4826 * nth(off, 0.5)) ** 2)), (x.mean(0), np.cov(x.T, bias=True))):
+        cov, dets = cov + least, []
+        while len(dets) < 2 or dets[-1] < dets[-2] - 1e-6:
+            d2 = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(cov), x - centre)
+            kept = x[d2 <= nth(d2, outliers.SHARE)]
+            centre, cov = kept.mean(0), np.cov(kept.T, bias=True) * outliers.CONSISTENCY + least
+            dets.append(np.linalg.slogdet(cov)[1])
+            found.append((dets[-1], centre, cov))
+    return min(found, key=lambda f: f[0])[1:]
+
+
+def test_repeated_lines_are_outliers_where_nobody_repeats(spark):
+    """A third of all lines alike, in a group without a repeat; a few repeats stay."""
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(corpus.WORDS) + str(rng.randrange(1000)) for _ in range(9))
+    clean = [(i, "\n".join(line() for _ in range(100)), "en", "web", 0) for i in range(200)]
+    junk = [(1000 + i, "\n".join(line() if j % 10 < 7 else "Read more" for j in range(100)), "en", "web", 0) for i in range(8)]
+    some = [(2000 + i, "\n".join(line() if j % 25 else "Next part" for j in range(100)), "en", "web", 0) for i in range(8)]
+    rows = outliers.quality(corpus.frame(spark, clean + junk + some)).collect()
+    assert {r.doc_id for r in rows if not r.kept} == {d[0] for d in junk}
+    assert not any(r.base_failed for r in rows)
+
+
 def test_estimate_is_that_of_concentration_steps(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, 1, (400, outliers.P)), rng.normal(9, 0.1, (100, outliers.P))])
     vectors = spark.createDataFrame([("en", "g", *map(float, v)) for v in x], "lang_key string, group_key string, " + ", ".join(f"{c} double" for c in outliers.XS))
     model = outliers.fit(vectors).first()
     assert np.abs(np.array(model.centre)).max() < 0.35          # the cluster of outliers does not pull it
+    centre, cov = concentrated(x)
+    np.testing.assert_allclose(model.centre, centre, atol=1e-9)
+    np.testing.assert_allclose(np.linalg.inv(np.array(model.inverse).reshape(outliers.P, -1)), cov, atol=1e-7)
     assert outliers.chi2_cdf(outliers.chi2_quantile(0.75, 5), 5) == pytest.approx(0.75)
     assert outliers.LIMIT == pytest.approx(41.9, abs=2)
 
