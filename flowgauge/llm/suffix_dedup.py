@@ -17,15 +17,18 @@ share the later anchor, and their bytes. Three exact steps leave only little to
   are dealt by anchor into parts, by a running total of bytes that bounds every part by
   twice ``PART``, and each part is suffix-sorted.
 
-An anchor whose cells hold more bytes than a part should is not dealt into one; its
-windows are counted one by one with a map-side aggregate, which no hot anchor can skew.
+An anchor whose cells hold more bytes than a part should is not dealt into one; its cells
+are cut into ever smaller blocks of windows, and told apart by hashes of what all windows
+of a block share and of the whole, with map-side aggregates, which no hot anchor can skew.
 """
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgauge.functions.running import running_totals
@@ -38,7 +41,8 @@ SPAN = LENGTH - GRAM + 1        # grams in a window
 PART = 1 << 18                  # bytes that one suffix sort takes, or up to twice as many
 ROWS = 64                       # texts that are Python objects at a time
 CHUNK = 1 << 18                 # bytes that are hashed together
-HOT = 4096                      # cells of one anchor beyond which its windows are counted
+HOT = 4096                      # cells of one anchor beyond which they are cut into blocks
+BLOCKS = (43, 11, 3, 1)         # windows of a block, one cut after another; cores need 128 bytes
 _RNG = np.random.default_rng(20)
 CODE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -285,19 +289,19 @@ def _intervals(flags, first):
 
 
 def _cut(wanted_texts):
-    """The bytes of wanted cells: (h, place, part, anchor, first, data)."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    """The bytes of wanted cells: (h, place, part, anchor, first, last, done, data)."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches):
         for batch in batches:
-            rows = ((h, g, w["part"], w["anchor"], w["first"], data[w["first"]:w["last"] + LENGTH])
+            rows = ((h, g, w["part"], w["anchor"], w["first"], w["last"], w["done"], data[w["first"]:w["last"] + LENGTH])
                     for h, g, text, wanted in _rows(batch)
                     for data in [text.encode("utf-8", "replace")] for w in wanted)
             for chunk in _chunks(rows, 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)],
-                                                 names=["h", "place", "part", "anchor", "first", "data"])
+                                                 names=["h", "place", "part", "anchor", "first", "last", "done", "data"])
 
-    return wanted_texts.mapInArrow(run, "h long, place long, part int, anchor long, first int, data binary")
+    return wanted_texts.mapInArrow(run, "h long, place long, part int, anchor long, first int, last int, done boolean, data binary")
 
 
 def _sort_part(frame):
@@ -307,27 +311,61 @@ def _sort_part(frame):
     return pd.DataFrame(out, columns=["h", "place", "a", "b"])
 
 
-def _hot_windows(cut):
-    """Windows of hot anchors that occur twice, by a hash of 128 bits with the anchor's."""
+def _blocks(rows, size):
+    """Cells cut wherever a window's place before its anchor goes into another ``size``.
+    ``core`` hashes the bytes that all windows of such a block have, whether the cell has
+    them or not, and ``whole`` the windows of this cell in it: equal windows have equal
+    cores, and equal wholes have equal windows."""
     def run(batches):
         for batch in batches:
-            for h, g, anchor, first, data in _rows(batch):
-                _, long = gram_hashes(np.frombuffer(data, np.uint8))
+            for h, g, anchor, first, _, done, data in _rows(batch):
+                short, long = gram_hashes(np.frombuffer(data, np.uint8))
+                # The leftmost least gram of the first window: that of every other one, too.
+                mark = int(np.argmax(_mixed(short).view(np.int64) == anchor))
                 n = len(data) - LENGTH + 1
-                whole = _mixed(_mixed(long[:n]) + long[LENGTH - 128:LENGTH - 128 + n])
+                block = np.arange((mark - n + 1) // size, mark // size + 1)
+                low, high = np.maximum(mark - block * size - size + 1, 0), np.minimum(mark - block * size, n - 1)
+                start, end = mark - block * size, mark - block * size - size + 1 + LENGTH
+                core = _mixed(_mixed(block.astype(np.uint64) * BASE + long[start]) + long[end - 128])
+                whole = _mixed(_mixed(core + (mark - low).astype(np.uint64) * BASE + (high - low).astype(np.uint64) * MIX
+                                      + long[low]) + long[high + LENGTH - 128])
+                many = len(block)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, x)) for x in (h, g, anchor)]
-                    + [pa.array(x.astype(np.int32)) for x in (np.full(n, first), first + np.arange(n))] + [pa.array(whole.view(np.int64))],
-                    names=["h", "place", "anchor", "first", "at", "window"])
-
-    rows = cut.filter("part < 0").select("h", "place", "anchor", "first", "data").mapInArrow(
-        _joined(run), "h long, place long, anchor long, first int, at int, window long")
-    twice = rows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "window")
-    # A cell has at most SPAN windows; its runs are what leaves.
-    at = rows.join(twice, ["anchor", "window"]).groupBy("h", "place", "first").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    a = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
-    b = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
-    return at.select("h", "place", F.inline(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("a", "b"))
+                    [pa.array(np.full(many, x)) for x in (h, g, anchor)] + [pa.array(x.view(np.int64)) for x in (core, whole)]
+                    + [pa.array((first + x).astype(np.int32)) for x in (low, high)]
+                    + [pa.array([done] * many), pa.array([data[a:b + LENGTH] for a, b in zip(low.tolist(), high.tolist())], pa.binary())],
+                    names=["h", "place", "anchor", "core", "whole", "first", "last", "done", "data"])
+
+    return rows.mapInArrow(_joined(run), "h long, place long, anchor long, core long, whole long, first int, last int, done boolean, data binary")
+
+
+def _hot_runs(rows):
+    """Runs of windows of hot anchors that occur twice, by a hash of 128 bits with the
+    anchor's. Cells (h, place, anchor, first, last, done, data; ``done`` when all their
+    windows are known to) are cut into ever smaller blocks of windows. A block whose core
+    nothing shares is left, one that occurs whole elsewhere is repeated, and only the
+    others are cut again: a cell's rows follow its runs, not its windows."""
+    found = []
+    for size in BLOCKS:
+        blocks = stored(_blocks(rows, size), "blocks")
+        one = [F.first(c).alias(c) for c in ("h", "place", "first", "last", "data")]
+        kinds = stored(blocks.groupBy("anchor", "core", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("done").alias("done"), *one), "wholes")
+        twice = kinds.filter("n > 1").select("anchor", "core", "whole")
+        found.append(blocks.filter("not done").join(twice, ["anchor", "core", "whole"]).select(
+            "h", "place", F.col("first").alias("a"), F.col("last").alias("b")))
+        kinds = kinds.withColumn("done", F.col("done") | (F.col("n") > 1))
+        shared = kinds.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("m"), F.min("done").alias("settled")).filter("m > 1 and not settled")
+        rows = kinds.join(stored(shared.select("anchor", "core"), "shared"), ["anchor", "core"]).select(
+            "h", "place", "anchor", "first", "last", "done", "data")
+        if size == 1 or rows.limit(1).count() == 0:
+            break
+    return reduce(DataFrame.union, found)
+
+
+def _wanted(kinds):
+    """The cells of each text: (h, place, wanted)."""
+    return kinds.withColumn("done", F.col("n") > 1).groupBy("h", "place").agg(
+        F.collect_list(F.struct("part", "anchor", "first", "last", "done")).alias("wanted"))
 
 
 def repeated_runs(docs, texts, hot=HOT, part=PART):
@@ -347,12 +385,16 @@ def repeated_runs(docs, texts, hot=HOT, part=PART):
     anchors = stored(anchors.filter("m > 1 and open > 0").withColumn("hot", (F.col("m") > hot) | (F.col("bytes") > part)).drop("open"), "anchors")
     dealt = running_totals(anchors.filter("not hot"), [], ["anchor"], "bytes", "before")
     dealt = dealt.select("anchor", F.floor(F.col("before") / part).cast("int").alias("part"))
-    to = dealt.union(anchors.filter("hot").select("anchor", F.lit(-1).alias("part")))
-    left = kinds.drop("n", "cell").join(to, "anchor")
-    wanted = left.groupBy("h", "place").agg(F.collect_list(F.struct("part", "anchor", "first", "last")).alias("wanted"))
-    cut = _cut(texts.join(wanted, ["h", "place"]).select("h", "place", "text", "wanted"))
-    runs = decided.union(cut.filter("part >= 0").groupBy("part").applyInPandas(_sort_part, "h long, place long, a int, b int"))
-    return runs.union(_hot_windows(cut)) if anchors.filter("hot").limit(1).count() else runs
+    cut = _cut(texts.join(_wanted(kinds.join(dealt, "anchor")), ["h", "place"]).select("h", "place", "text", "wanted"))
+    runs = decided.union(cut.groupBy("part").applyInPandas(_sort_part, "h long, place long, a int, b int"))
+    # Written, so that where they are few they are sent to the texts, and not the texts to them.
+    heated = stored(anchors.filter("hot").select("anchor", F.lit(-1).alias("part")), "hot")
+    if not heated.limit(1).count():
+        return runs
+    wanted = stored(_wanted(kinds.join(heated, "anchor")), "hot-cells")
+    few = docs.join(wanted.select("h", "place"), ["h", "place"], "left_semi").dropDuplicates(["h", "place"])
+    cut = _cut(few.join(wanted, ["h", "place"]).select("h", "place", "text", "wanted"))
+    return runs.union(_hot_runs(cut.select("h", "place", "anchor", "first", "last", "done", "data")))
 
 
 def _removed(data, runs):

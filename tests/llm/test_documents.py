@@ -520,6 +520,27 @@ def test_repeated_bytes_go(spark, hot):
     assert sum(r.n_removed for r in rows) > 10_000
 
 
+def test_cells_of_a_hot_anchor_are_cut_by_runs_not_by_windows(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = corpus.prose(rng, 1, 10)[:700]
+    docs = [f"{corpus.prose(rng, 1, 4)} {passage} {corpus.prose(rng, 1, 4)}" for _ in range(40)]
+    docs += [passage[:i] + "#" + passage[i + 1:] for i in range(0, 700, 9)]     # copies that differ in one place
+    made, stored = Counter(), suffix_dedup.stored
+
+    def counted(df, what="table"):
+        out = stored(df, what)
+        made[what] += out.count()
+        if what == "all-cells":
+            made["windows"] += out.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0]
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    table = corpus.frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(docs)])
+    rows = suffix_dedup.without_repeats(table, hot=2).collect()
+    assert Counter(map(tuple, rows)) == Counter((i, *w) for i, w in enumerate(brute_repeats([d.encode() for d in docs])))
+    assert 0 < made["blocks"] < made["windows"] / 8
+
+
 @pytest.mark.parametrize("letters,depth", [(1, 5), (2, 200), (3, 20), (26, 1000)])
 def test_suffix_order(letters, depth):
     rng = random.Random(letters)
