@@ -20,6 +20,7 @@ averaged. What reaches the driver is one network, whatever the corpus.
 import uuid
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ LEAST = 5               # occurrences of a listed word
 MOST = 500_000          # listed words, for the memory of a Python worker
 COUNTED = 200_000       # words that a task counts before it passes them on
 END = 32                # the byte around words
+TIMES = 24              # rows of one index that are added up together with those of others
 SAFE = 60.0             # logits whose exponentials fit into 32-bit floats
 
 
@@ -80,6 +82,7 @@ def _kind(byte):
 
 
 KIND = [_kind(b) for b in range(256)]
+KIND_OF = np.array(KIND)
 KINDS = 32
 
 
@@ -113,6 +116,23 @@ class Listing:
         first = (*word[:3], END, END)
         return self.own + self.shared + _opening(first[0], first[1], first[2], self.rest)
 
+    def of_rest(self, words):
+        """Ids, and log-probabilities given them, of words off the list."""
+        text = np.frombuffer(b" " + b" ".join(words) + b"    ", np.uint8).astype(np.int64)
+        stops = np.flatnonzero(text[:-3] == END)
+        starts, stops = stops[:-1] + 1, stops[1:]
+        a, b, c = (np.where(starts + k < stops, text[np.minimum(starts + k, stops)], END) for k in range(3))
+        opening = _opening(a, b, c, self.rest)
+        table, share = self.spelled
+        # A word's bytes and its end, each after two; the end of a word stands before the next.
+        last = np.concatenate([[END], text[:-1]])
+        one_before = np.concatenate([[END], last[:-1]])
+        one_before[starts] = END
+        steps = table[(KIND_OF[one_before] * 256 + last) * 256 + text]
+        numbers = np.repeat(np.arange(len(words)), stops - starts + 1)
+        total = np.bincount(numbers, steps[starts[0]:stops[-1] + 1], len(words))
+        return self.own + self.shared + opening, np.minimum(0.0, total - share[opening])
+
     def _spelled(self, counts):
         """Log-probabilities of a byte after two, and of each opening's share."""
         counts = counts.reshape(KINDS, 256, 256).astype(np.float64)
@@ -149,6 +169,13 @@ class Words(dict):
         return got
 
 
+class Ranks(dict):
+    """Rank of a listed word; of others what ``get`` is told."""
+
+    def __init__(self, listing):
+        super().__init__(zip(listing.words.split(b" "), range(len(listing.ids))) if listing.words else ())
+
+
 class Given(Words):
     """Log-probability of a word given its id."""
 
@@ -294,16 +321,33 @@ def log_probabilities(net, documents):
 
 
 def _summed_by(index, rows):
-    """The different indices, and the sums of their rows."""
+    """The different indices, and the sums of their rows: index i is that of row i modulo
+    their number. Most indices occur a few times, so that all first rows, all second rows
+    and so on are added up together; what occurs ``TIMES`` times or more is few."""
     order = np.argsort(index, kind="stable")
-    index = index[order]
-    starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    return index[starts], np.add.reduceat(np.take(rows, order, 0), starts, axis=0)
+    ordered = index[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(starts, append=len(index))
+    by_size = np.argsort(-np.minimum(sizes, TIMES), kind="stable")
+    starts, order = starts[by_size], order % len(rows)
+    many = np.cumsum(np.bincount(np.minimum(sizes, TIMES), minlength=TIMES + 1)[::-1])[::-1]   # indices that occur so often
+    sums = np.take(rows, order[starts], 0)
+    for k in range(1, TIMES):
+        if not many[k + 1]:
+            break
+        sums[:many[k + 1]] += np.take(rows, order[starts[:many[k + 1]] + k], 0)
+    for k in range(many[TIMES]):
+        sums[k] = np.take(rows, order[starts[k]:starts[k] + sizes[by_size[k]]], 0).sum(0)
+    return ordered[starts], sums
 
 
 def _moved(numbers, memory, slope, at=slice(None)):
-    memory[at] += slope * slope
-    numbers[at] -= RATE * slope / np.sqrt(memory[at])
+    past = memory[at]
+    past += slope * slope
+    memory[at] = past
+    slope *= RATE
+    slope /= np.sqrt(past)
+    numbers[at] -= slope
 
 
 def step(net, memory, around, target):
@@ -317,15 +361,17 @@ def step(net, memory, around, target):
     d_first[rows, group] -= 1 / n
     d_second[rows, target % len(net["group_shift"])] -= 1 / n
     d_h = (d_first @ net["group"].T + d_second @ net["member"].T) * (1 - h * h)
-    slopes = {"shift": d_h.sum(0), "group": h.T @ d_first, "group_shift": d_first.sum(0), "member": h.T @ d_second}
+    ones = np.ones(n, d_h.dtype)
+    slopes = {"shift": ones @ d_h, "group": h.T @ d_first, "group_shift": ones @ d_first, "member": h.T @ d_second}
     for k, slope in slopes.items():
         _moved(net[k], memory[k], slope)
     # Only rows that were met have a slope.
     at, slope = _summed_by(group.astype(np.uint16), d_second)
     _moved(net["member_shift"], memory["member_shift"], slope, at)
-    for k, a in enumerate(around):
-        at, slope = _summed_by(a.astype(np.uint16), d_h)
-        _moved(net["embed"][k], memory["embed"][k], slope, at)
+    flat_embed, flat_memory = (x["embed"].reshape(-1, WIDTH) for x in (net, memory))
+    places = np.concatenate([a + k * net["embed"].shape[1] for k, a in enumerate(around)])
+    at, slope = _summed_by(places.astype(np.uint16), d_h)       # 4 times 4,097 numbers at most
+    _moved(flat_embed, flat_memory, slope, at)
 
 
 def trained(net, documents):
@@ -397,13 +443,30 @@ def with_ids(docs, listed, text="text"):
     that texts are split and looked up once for all that is done with them."""
     at = docs.columns.index(text)
 
+    def looked_up(texts):
+        ranks, listing = _known(Ranks, listed), listed.value[1]
+        tokens = [t for text in texts for t in text]
+        at = np.fromiter(map(ranks.get, tokens, repeat(-1)), np.int64, len(tokens))
+        off = np.flatnonzero(at < 0)
+        ids, given = np.zeros(len(at), "<u2"), np.zeros(len(at))
+        if len(off) < len(at):
+            ids, given = listing.ids[at].astype("<u2"), listing.given[at].astype(np.float64)
+        if len(off):
+            ids[off], given[off] = listing.of_rest([tokens[i] for i in off.tolist()])
+        sizes = [len(text) for text in texts]
+        ends = np.cumsum(sizes).tolist()
+        return ([ids[e - n:e].tobytes() for e, n in zip(ends, sizes)],
+                np.bincount(np.repeat(np.arange(len(texts)), sizes), given, len(texts)).tolist())
+
     def make(batch):
-        words, given = _known(Words, listed), _known(Given, listed)
-        ids, apart = [], []
+        ids, apart, held, size = [], [], [], 0
         for value in batch.column(at):
-            tokens = (value.as_py() or "").encode("utf-8", "replace").lower().split()
-            ids.append(np.fromiter(map(words.__getitem__, tokens), "<u2", len(tokens)).tobytes())
-            apart.append(float(sum(map(given.__getitem__, tokens))))
+            held.append((value.as_py() or "").encode("utf-8", "replace").lower().split())
+            size += len(held[-1])
+            if size >= BUFFER:
+                ids, apart, held, size = *(x + y for x, y in zip((ids, apart), looked_up(held))), [], 0
+        if held:
+            ids, apart = (x + y for x, y in zip((ids, apart), looked_up(held)))
         return [pa.array(ids, pa.binary()), pa.array(apart, pa.float64())]
 
     return stored(add_columns(docs, make, "ids binary, apart double").drop(text), "ids")

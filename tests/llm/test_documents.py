@@ -423,6 +423,28 @@ def test_words_given_their_ids_sum_to_one():
     assert np.exp(share).sum() == pytest.approx(1 - np.exp(table[256 * pseudo_lm.END + pseudo_lm.END]), abs=1e-3)   # no word is empty
 
 
+def test_words_off_the_list_are_looked_up_together():
+    rng = np.random.default_rng(2)
+    listed = pseudo_lm.Listing([b"the", b"of"], [9, 7], rng.integers(0, 9, pseudo_lm.KINDS * 256 * 256))
+    words = [b"a", b"bc", b"def", b"zebra", "\u00e9t\u00e9".encode(), b"x1-y", b"#", b"\x00\x01", b"a"] + [
+        bytes(rng.integers(33, 256, n).astype(np.uint8)) for n in rng.integers(1, 30, 200)]
+    ids, given = listed.of_rest(words)
+    one, alone = pseudo_lm.Words(listed), pseudo_lm.Given(listed)
+    assert ids.tolist() == [one[w] for w in words]
+    assert given == pytest.approx([alone[w] for w in words], rel=1e-6)
+
+
+def test_sums_of_rows_by_index():
+    rng = np.random.default_rng(3)
+    for n, most in ((1, 1), (50, 1), (400, 300), (400, 40), (4000, 7)):
+        rows = rng.standard_normal((n, 5)).astype(np.float32)
+        index = np.minimum(rng.integers(0, most, 4 * n), rng.integers(0, most, 4 * n)).astype(np.uint16)
+        at, sums = pseudo_lm._summed_by(index, rows)
+        want = np.zeros((most, 5))
+        np.add.at(want, index, np.tile(rows, (4, 1)))
+        assert sorted(at) == sorted(set(index)) and sums == pytest.approx(want[at], abs=1e-3)
+
+
 # --- near duplicates ---
 
 def brute_fingerprint(text):
