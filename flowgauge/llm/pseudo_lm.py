@@ -45,7 +45,7 @@ LEAST = 5               # occurrences of a listed word
 MOST = 500_000          # listed words, for the memory of a Python worker
 COUNTED = 200_000       # words that a task counts before it passes them on
 END = 32                # the byte around words
-TIMES = 24              # rows of one index that are added up together with those of others
+TIMES = 8               # rows of one index that are added up together with those of others
 SAFE = 60.0             # logits whose exponentials fit into 32-bit floats
 
 
@@ -322,22 +322,29 @@ def log_probabilities(net, documents):
 
 def _summed_by(index, rows):
     """The different indices, and the sums of their rows: index i is that of row i modulo
-    their number. Most indices occur a few times, so that all first rows, all second rows
-    and so on are added up together; what occurs ``TIMES`` times or more is few."""
+    their number. Most indices occur a few times, so that all second rows, all third rows
+    and so on are added up together, in the order of ``np.add.reduceat`` (the first row
+    to the sum of the rest), which sums what occurs more than ``TIMES`` times."""
     order = np.argsort(index, kind="stable")
     ordered = index[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     sizes = np.diff(starts, append=len(index))
-    by_size = np.argsort(-np.minimum(sizes, TIMES), kind="stable")
-    starts, order = starts[by_size], order % len(rows)
-    many = np.cumsum(np.bincount(np.minimum(sizes, TIMES), minlength=TIMES + 1)[::-1])[::-1]   # indices that occur so often
-    sums = np.take(rows, order[starts], 0)
-    for k in range(1, TIMES):
-        if not many[k + 1]:
-            break
-        sums[:many[k + 1]] += np.take(rows, order[starts[:many[k + 1]] + k], 0)
-    for k in range(many[TIMES]):
-        sums[k] = np.take(rows, order[starts[k]:starts[k] + sizes[by_size[k]]], 0).sum(0)
+    kinds = TIMES + 1 - np.minimum(sizes, TIMES + 1)
+    by_size = np.argsort(kinds.astype(np.uint8), kind="stable")             # the most frequent first
+    many = np.cumsum(np.bincount(kinds, minlength=TIMES + 1))[::-1]         # indices that occur more than k times
+    starts, sizes = starts[by_size], sizes[by_size]
+    order = np.tile(np.arange(len(rows)), len(index) // len(rows))[order]
+    sums, often = np.take(rows, order[starts], 0), many[TIMES]
+    if many[1]:
+        rest = np.take(rows, order[starts[:many[1]] + 1], 0)
+        for k in range(2, TIMES):
+            if many[k] > often:
+                rest[often:many[k]] += np.take(rows, order[starts[often:many[k]] + k], 0)
+        sums[often:many[1]] += rest[often:]
+    if often:
+        ends = np.cumsum(sizes[:often])
+        at = np.arange(ends[-1]) + np.repeat(starts[:often] - ends + sizes[:often], sizes[:often])
+        sums[:often] = np.add.reduceat(np.take(rows, order[at], 0), ends - sizes[:often], axis=0)
     return ordered[starts], sums
 
 
@@ -361,8 +368,7 @@ def step(net, memory, around, target):
     d_first[rows, group] -= 1 / n
     d_second[rows, target % len(net["group_shift"])] -= 1 / n
     d_h = (d_first @ net["group"].T + d_second @ net["member"].T) * (1 - h * h)
-    ones = np.ones(n, d_h.dtype)
-    slopes = {"shift": ones @ d_h, "group": h.T @ d_first, "group_shift": ones @ d_first, "member": h.T @ d_second}
+    slopes = {"shift": d_h.sum(0), "group": h.T @ d_first, "group_shift": d_first.sum(0), "member": h.T @ d_second}
     for k, slope in slopes.items():
         _moved(net[k], memory[k], slope)
     # Only rows that were met have a slope.
