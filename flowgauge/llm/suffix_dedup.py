@@ -177,14 +177,14 @@ def _cell_rows(docs):
     return docs.filter(F.octet_length("text") >= LENGTH).select("h", "place", "text").mapInArrow(run, CELL)
 
 
-def _joined(run, rows=50_000):
-    """Small batches put together, so that few cross to the JVM."""
+def _joined(run, room=1 << 22):
+    """Small batches put together, so that few cross to the JVM, of ``room`` bytes or little more."""
     def whole(batches):
         held, size = [], 0
         for batch in run(batches):
             held.append(batch)
-            size += batch.num_rows
-            if size >= rows:
+            size += batch.nbytes
+            if size >= room:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, size = [], 0
         if held:
@@ -288,16 +288,21 @@ def _intervals(flags, first):
     return (edges[::2] + first).tolist(), (edges[1::2] - 1 + first).tolist()
 
 
+def _cells_in(batch):
+    """The wanted cells of a batch of texts (h, place, part, anchor, first, last, done, data)."""
+    for h, g, text, wanted in _rows(batch):
+        data = text.encode("utf-8", "replace")
+        for w in wanted:
+            yield h, g, w["part"], w["anchor"], w["first"], w["last"], w["done"], data[w["first"]:w["last"] + LENGTH]
+
+
 def _cut(wanted_texts):
     """The bytes of wanted cells: (h, place, part, anchor, first, last, done, data)."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
     def run(batches):
         for batch in batches:
-            rows = ((h, g, w["part"], w["anchor"], w["first"], w["last"], w["done"], data[w["first"]:w["last"] + LENGTH])
-                    for h, g, text, wanted in _rows(batch)
-                    for data in [text.encode("utf-8", "replace")] for w in wanted)
-            for chunk in _chunks(rows, 1 << 20):
+            for chunk in _chunks(_cells_in(batch), 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk), kinds)],
                                                  names=["h", "place", "part", "anchor", "first", "last", "done", "data"])
 
@@ -311,14 +316,14 @@ def _sort_part(frame):
     return pd.DataFrame(out, columns=["h", "place", "a", "b"])
 
 
-def _blocks(rows, size):
-    """Cells cut wherever a window's place before its anchor goes into another ``size``.
+def _blocks(rows, size, cells):
+    """The ``cells`` of each batch of ``rows`` cut wherever a window's place before its anchor goes into another ``size``.
     ``core`` hashes the bytes that all windows of such a block have, whether the cell has
     them or not, and ``whole`` the windows of this cell in it: equal windows have equal
     cores, and equal wholes have equal windows."""
     def run(batches):
         for batch in batches:
-            for h, g, anchor, first, _, done, data in _rows(batch):
+            for h, g, _, anchor, first, _, done, data in cells(batch):
                 short, long = gram_hashes(np.frombuffer(data, np.uint8))
                 # The leftmost least gram of the first window: that of every other one, too.
                 mark = int(np.argmax(_mixed(short).view(np.int64) == anchor))
@@ -341,13 +346,14 @@ def _blocks(rows, size):
 
 def _hot_runs(rows):
     """Runs of windows of hot anchors that occur twice, by a hash of 128 bits with the
-    anchor's. Cells (h, place, anchor, first, last, done, data; ``done`` when all their
-    windows are known to) are cut into ever smaller blocks of windows. A block whose core
-    nothing shares is left, one that occurs whole elsewhere is repeated, and only the
-    others are cut again: a cell's rows follow its runs, not its windows."""
-    found = []
+    anchor's. The wanted cells of texts (``done`` when all their windows are known to) are
+    cut into ever smaller blocks of windows. A block whose core nothing shares is left, one
+    that occurs whole elsewhere is repeated, and only the others are cut again: a cell's
+    rows follow its runs, not its windows. Texts are cut into cells by the same Python
+    function as these into blocks: two of them in a row would hold two workers a task."""
+    found, cells = [], _cells_in
     for size in BLOCKS:
-        blocks = stored(_blocks(rows, size), "blocks")
+        blocks = stored(_blocks(rows, size, cells), "blocks")
         one = [F.first(c).alias(c) for c in ("h", "place", "first", "last", "data")]
         kinds = stored(blocks.groupBy("anchor", "core", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("done").alias("done"), *one), "wholes")
         twice = kinds.filter("n > 1").select("anchor", "core", "whole")
@@ -356,7 +362,8 @@ def _hot_runs(rows):
         kinds = kinds.withColumn("done", F.col("done") | (F.col("n") > 1))
         shared = kinds.groupBy("anchor", "core").agg(F.count(F.lit(1)).alias("m"), F.min("done").alias("settled")).filter("m > 1 and not settled")
         rows = kinds.join(stored(shared.select("anchor", "core"), "shared"), ["anchor", "core"]).select(
-            "h", "place", "anchor", "first", "last", "done", "data")
+            "h", "place", F.lit(-1).alias("part"), "anchor", "first", "last", "done", "data")
+        cells = _rows
         if size == 1 or rows.limit(1).count() == 0:
             break
     return reduce(DataFrame.union, found)
@@ -393,8 +400,7 @@ def repeated_runs(docs, texts, hot=HOT, part=PART):
         return runs
     wanted = stored(_wanted(kinds.join(heated, "anchor")), "hot-cells")
     few = docs.join(wanted.select("h", "place"), ["h", "place"], "left_semi").dropDuplicates(["h", "place"])
-    cut = _cut(few.join(wanted, ["h", "place"]).select("h", "place", "text", "wanted"))
-    return runs.union(_hot_runs(cut.select("h", "place", "anchor", "first", "last", "done", "data")))
+    return runs.union(_hot_runs(few.join(wanted, ["h", "place"]).select("h", "place", "text", "wanted")))
 
 
 def _removed(data, runs):

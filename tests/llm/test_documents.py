@@ -563,6 +563,22 @@ def test_cells_of_a_hot_anchor_are_cut_by_runs_not_by_windows(spark, monkeypatch
     assert 0 < made["blocks"] < made["windows"] / 8
 
 
+def test_no_task_of_hot_cells_holds_two_python_workers(spark, monkeypatch):
+    rng = random.Random(32)
+    passage = corpus.prose(rng, 1, 6)
+    docs = [(i, f"{corpus.prose(rng, 1, 3)} {passage} {corpus.prose(rng, 1, 3)}", "en", "a", 0) for i in range(12)]
+    steps, stored = {}, suffix_dedup.stored
+
+    def counted(df, what="table"):
+        steps.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return stored(df, what)
+
+    monkeypatch.setattr(suffix_dedup, "stored", counted)
+    rows = suffix_dedup.without_repeats(corpus.frame(spark, docs), hot=2).collect()
+    assert Counter(map(tuple, rows)) == Counter((d[0], *w) for d, w in zip(docs, brute_repeats([d[1].encode() for d in docs])))
+    assert steps["blocks"] and set(steps["blocks"]) == {1}
+
+
 @pytest.mark.parametrize("letters,depth", [(1, 5), (2, 200), (3, 20), (26, 1000)])
 def test_suffix_order(letters, depth):
     rng = random.Random(letters)
