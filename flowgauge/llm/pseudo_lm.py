@@ -348,13 +348,24 @@ def _summed_by(index, rows):
     return ordered[starts], sums
 
 
-def _moved(numbers, memory, slope, at=slice(None)):
-    past = memory[at]
+def _rows_of(table):
+    """The rows of a table as single values, which numpy puts in place faster than their numbers."""
+    return table.view(np.dtype((np.void, table.strides[0]))).ravel()
+
+
+def _moved(numbers, memory, slope, at=None):
+    """Moves all numbers, or the rows ``at``, by a slope that is used up."""
+    past = memory if at is None else np.take(memory, at, 0)
     past += slope * slope
-    memory[at] = past
     slope *= RATE
-    slope /= np.sqrt(past)
-    numbers[at] -= slope
+    if at is None:
+        slope /= np.sqrt(past)
+        numbers -= slope
+        return
+    _rows_of(memory)[at] = _rows_of(past)
+    slope /= np.sqrt(past, out=past)
+    np.subtract(np.take(numbers, at, 0), slope, out=slope)
+    _rows_of(numbers)[at] = _rows_of(slope)
 
 
 def step(net, memory, around, target):
@@ -367,7 +378,9 @@ def step(net, memory, around, target):
     d_second *= (1 / (n * sums))[:, None]
     d_first[rows, group] -= 1 / n
     d_second[rows, target % len(net["group_shift"])] -= 1 / n
-    d_h = (d_first @ net["group"].T + d_second @ net["member"].T) * (1 - h * h)
+    d_h = d_first @ net["group"].T
+    d_h += d_second @ net["member"].T
+    d_h *= 1 - h * h
     slopes = {"shift": d_h.sum(0), "group": h.T @ d_first, "group_shift": d_first.sum(0), "member": h.T @ d_second}
     for k, slope in slopes.items():
         _moved(net[k], memory[k], slope)

@@ -445,6 +445,22 @@ def test_sums_of_rows_by_index():
         assert sorted(at) == sorted(set(index)) and sums == pytest.approx(want[at], abs=1e-3)
 
 
+def test_rows_move_as_by_the_plain_formula():
+    rng = np.random.default_rng(9)
+    numbers, memory = (rng.random((50, 32), np.float32) for _ in range(2))
+    at, slope = rng.permutation(50)[:30], rng.standard_normal((30, 32)).astype(np.float32)
+    for rows in (at, None):
+        got, past = numbers.copy(), memory.copy()
+        pseudo_lm._moved(got, past, slope.copy() if rows is not None else numbers.copy(), rows)
+        where, s = (slice(None), numbers) if rows is None else (rows, slope)
+        squares = memory.copy()
+        squares[where] += s * s
+        want = numbers.copy()
+        want[where] -= s * np.float32(pseudo_lm.RATE) / np.sqrt(squares[where])
+        assert np.array_equal(past, squares) and np.array_equal(got, want)
+
+
+
 # --- near duplicates ---
 
 def brute_fingerprint(text):
